@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp, clamp01, or_else, round2, round3
 from ..functions.times import age_hours, millis, ts_lit
+from .lineage import cut
 from .summaries import count_tables
 
 # Component weights, each list sums to 100.
@@ -175,7 +176,9 @@ def topic_velocity(signals: DataFrame, signal_topics: DataFrame, topic_order: li
     )
     hour_ms = 3600 * 1000
     span = VELOCITY_HOURS
-    points = dated.groupBy("mask", "t").agg(F.count("*").alias("n")).withColumn("hour", F.floor(F.col("t") / hour_ms))
+    points = cut(
+        dated.groupBy("mask", "t").agg(F.count("*").alias("n")).withColumn("hour", F.floor(F.col("t") / hour_ms))
+    )
     all_masks = points.select("mask").distinct()
     shared = all_masks.select(F.col("mask").alias("ask_mask")).join(
         F.broadcast(all_masks), F.col("ask_mask").bitwiseAND(F.col("mask")) > 0
@@ -233,7 +236,7 @@ def score_context(
     now,
 ) -> DataFrame:
     """One row per signal with every component value, unclamped."""
-    members = score_members(links, articles)
+    members = cut(score_members(links, articles))  # texts are read once, for their lengths
     people = member_scores(members, sources, now)
     edges = relation_scores(scope_relations(relations, members))
     merged = (

@@ -79,7 +79,9 @@ FROM (
     "signals_fx": (
         ("links_ranked",),
         """
-SELECT signal_id, number, title, CASE WHEN number % 4 = 1 THEN NULL ELSE concat('Summary of ', title) END AS summary,
+SELECT signal_id, number, title, CASE WHEN number % 4 = 1 THEN NULL ELSE concat('Summary of ', title, CASE number % 7 WHEN 0 THEN ' with Agents, tool use and a new GPT'
+    WHEN 2 THEN ' (benchmark paper on text-to-video, raised by investors)' WHEN 3 THEN ' announces release notes; series B funding'
+    WHEN 5 THEN ' regulators copyright on-device NPU' ELSE '' END) END AS summary,
   CASE WHEN number % 13 = 5 THEN 'hidden' WHEN number % 29 = 7 THEN 'deleted' ELSE 'candidate' END AS status,
   CAST((number * 37) % 10000 AS DOUBLE) / 100 AS heat_score,
   CAST((number * 53) % 9000 AS DOUBLE) / 100 AS signal_score,
