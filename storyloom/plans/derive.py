@@ -44,7 +44,9 @@ FROM (SELECT DISTINCT source AS source_id, CAST(substr(source, 4) AS INT) AS n F
 SELECT concat('art_', lpad(CAST(d.doc_id AS STRING), 9, '0')) AS article_id,
   concat('raw_', lpad(CAST(d.doc_id AS STRING), 9, '0')) AS raw_item_id,
   d.source AS source_id,
-  CASE WHEN d.doc_id % 5 = 0 AND p.url IS NOT NULL THEN p.url WHEN d.doc_id % 11 = 7 THEN NULL
+  CASE WHEN d.doc_id % 26 = 4 THEN concat(CASE WHEN d.doc_id % 3 = 0 THEN 'https://Shared.example.com/p/' ELSE 'https://shared.example.com/p/' END,
+      CAST(d.doc_id % 260 AS STRING), CASE d.doc_id % 4 WHEN 0 THEN '?utm_source=x' WHEN 2 THEN '/' ELSE '#top' END)
+    WHEN d.doc_id % 5 = 0 AND p.url IS NOT NULL THEN p.url WHEN d.doc_id % 11 = 7 THEN NULL
     ELSE concat('https://', d.source, '.example.com/a/', CAST(d.doc_id AS STRING)) END AS canonical_url,
   trim(regexp_extract(d.text, '^[^.,|\\n]{{1,120}}', 0)) AS title,
   CASE WHEN d.lang = 'es' THEN 'zh' ELSE d.lang END AS language,
