@@ -139,7 +139,7 @@ SELECT concat('src', CAST(user_id % 20 AS STRING)) AS source_id, concat('item',
   concat('Record ', event_type, ' ', CAST(event_id % 4000 AS STRING)) AS title,
   concat('https://records.example.com/', CAST(event_id % 4000 AS STRING)) AS url,
   CASE WHEN event_id % 23 = 0 THEN NULL ELSE ts END AS published_at, ts + INTERVAL '1' HOUR AS fetched_at,
-  concat('data of ', event_type, ' with value ', CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS summary,
+  concat(CASE WHEN event_id % 3 = 1 THEN 'note on ' ELSE 'data of ' END, event_type, ' with value ', CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS summary,
   props AS payload, CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('meta', CAST(event_id AS STRING)) END AS response_meta, event_id
 FROM events""",
     ),
