@@ -1,3 +1,3 @@
 """Imports every catalog module so that its queries register."""
 
-from . import duplicates, enrich, ingest, quality, scoring, serving, sources, topics  # noqa: F401
+from . import duplicates, enrich, flows, ingest, quality, scoring, serving, sources, topics  # noqa: F401

@@ -4,61 +4,103 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-SOURCES = T.StructType.fromDDL(
-    "source_id STRING, name STRING, source_type STRING, family STRING, feed_url STRING, api_endpoint STRING, "
-    "query STRING, language STRING, filter_keywords ARRAY<STRING>, fetch_limit INT, fetch_interval_minutes INT, "
-    "freshness_window_hours DOUBLE, trust_score DOUBLE, credential_ref STRING, allow_full_text BOOLEAN, "
-    "allow_summary BOOLEAN, commercial_use_needs_review BOOLEAN, attribution_required BOOLEAN, enabled BOOLEAN, "
-    "next_fetch_at TIMESTAMP"
+STR, INT, LONG, DBL, BOOL, TS = (
+    T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
 )
+STRS = T.ArrayType(STR)
 
-RECORDS = T.StructType.fromDDL(
-    "source_id STRING, source_type STRING, external_id STRING, title STRING, url STRING, published_at TIMESTAMP, "
-    "updated_at TIMESTAMP, author STRING, authors ARRAY<STRING>, summary STRING, categories ARRAY<STRING>, "
-    "payload STRING, response_meta STRING, fetched_at TIMESTAMP"
+
+def shape(*parts: tuple[T.DataType, str]) -> T.StructType:
+    """A schema from (type, space-separated column names) groups, in order."""
+    return T.StructType([T.StructField(name, kind) for kind, names in parts for name in names.split()])
+
+
+SOURCES = shape(
+    (STR, "source_id name source_type family feed_url api_endpoint query language"),
+    (STRS, "filter_keywords"),
+    (INT, "fetch_limit fetch_interval_minutes"),
+    (DBL, "freshness_window_hours trust_score"),
+    (STR, "credential_ref"),
+    (BOOL, "allow_full_text allow_summary commercial_use_needs_review attribution_required enabled"),
+    (TS, "next_fetch_at"),
 )
 
-RAW_ITEMS = T.StructType.fromDDL(
-    "source_id STRING, external_id STRING, content_hash STRING, payload STRING, response_meta STRING, "
-    "first_fetched_at TIMESTAMP, last_fetched_at TIMESTAMP, duplicate_fetch_count BIGINT"
+RECORDS = shape(
+    (STR, "source_id source_type external_id title url"),
+    (TS, "published_at updated_at"),
+    (STR, "author"),
+    (STRS, "authors"),
+    (STR, "summary"),
+    (STRS, "categories"),
+    (STR, "payload response_meta"),
+    (TS, "fetched_at"),
 )
 
-ARTICLES = T.StructType.fromDDL(
-    "article_id STRING, raw_item_id STRING, source_id STRING, canonical_url STRING, title STRING, language STRING, "
-    "excerpt STRING, author STRING, text_for_ai STRING, published_at TIMESTAMP, created_at TIMESTAMP, "
-    "full_text_display_allowed BOOLEAN, content_hash STRING, community_score BIGINT, community_comments BIGINT, "
-    "community_votes BIGINT, dedupe_status STRING"
+RAW_ITEMS = shape(
+    (STR, "source_id external_id content_hash payload response_meta"),
+    (TS, "first_fetched_at last_fetched_at"),
+    (LONG, "duplicate_fetch_count"),
 )
 
-RELATIONS = T.StructType.fromDDL(
-    "relation_type STRING, source_id STRING, article_id STRING, signal_id STRING, target_article_id STRING, "
-    "confidence DOUBLE, title_similarity DOUBLE, hours_apart DOUBLE, reasons ARRAY<STRING>, cluster_score DOUBLE, "
-    "role STRING, duplicate_support BOOLEAN, heat_boost DOUBLE, credibility_boost DOUBLE, detected_at TIMESTAMP"
+ARTICLES = shape(
+    (STR, "article_id raw_item_id source_id canonical_url title language excerpt author text_for_ai"),
+    (TS, "published_at created_at"),
+    (BOOL, "full_text_display_allowed"),
+    (STR, "content_hash"),
+    (LONG, "community_score community_comments community_votes"),
+    (STR, "dedupe_status"),
 )
 
-RELATION_KEY = ["relation_type", "source_id", "article_id", "signal_id", "target_article_id"]
+# Articles as stored after a run.
+STORED_ARTICLES = T.StructType(
+    ARTICLES.fields
+    + shape((STR, "quality_status visibility_status"), (STRS, "quality_reasons"), (TS, "quality_checked_at")).fields
+)
 
-KEY_POINTS = "ARRAY<STRUCT<text STRING, source_ids ARRAY<STRING>>>"
-TIMELINE = "ARRAY<STRUCT<label STRING, at STRING, source_ids ARRAY<STRING>>>"
-SOURCE_MIX = "ARRAY<STRUCT<source_id STRING, source_name STRING, role STRING>>"
-
-SIGNALS = T.StructType.fromDDL(
-    "signal_id STRING, slug STRING, title STRING, summary STRING, status STRING, heat_score DOUBLE, "
-    "signal_score DOUBLE, primary_published_at TIMESTAMP, enrichment_status STRING, ai_brief STRING, "
-    f"key_points {KEY_POINTS}, timeline {TIMELINE}, source_mix {SOURCE_MIX}, next_watch STRING, "
-    "related_signal_ids ARRAY<STRING>, enrichment_error STRING, enrichment_provider STRING, error_category STRING, "
-    "fallback_generated BOOLEAN, enrichment_version INT, backfill_reason STRING, previous_status STRING, "
-    "created_at TIMESTAMP, updated_at TIMESTAMP"
+RELATIONS = shape(
+    (STR, "relation_type source_id article_id signal_id target_article_id"),
+    (DBL, "confidence title_similarity hours_apart"),
+    (STRS, "reasons"),
+    (DBL, "cluster_score"),
+    (STR, "role"),
+    (BOOL, "duplicate_support"),
+    (DBL, "heat_boost credibility_boost"),
+    (TS, "detected_at"),
 )
 
-LINKS = T.StructType.fromDDL("signal_id STRING, article_id STRING, role STRING")
+RELATION_KEY = ["relation_type", "source_id", "article_id", "signal_id", "target_article_id"]
+
+KEY_POINTS = T.ArrayType(shape((STR, "text"), (STRS, "source_ids")))
+TIMELINE = T.ArrayType(shape((STR, "label at"), (STRS, "source_ids")))
+SOURCE_MIX = T.ArrayType(shape((STR, "source_id source_name role")))
 
-SIGNAL_TOPICS = T.StructType.fromDDL(
-    "signal_id STRING, topic_slug STRING, method STRING, confidence DOUBLE, reason STRING, matched_by STRING, "
-    "matched_terms ARRAY<STRING>, source_families ARRAY<STRING>, source_types ARRAY<STRING>"
+SIGNALS = shape(
+    (STR, "signal_id slug title summary status"),
+    (DBL, "heat_score signal_score"),
+    (TS, "primary_published_at"),
+    (STR, "enrichment_status ai_brief"),
+    (KEY_POINTS, "key_points"),
+    (TIMELINE, "timeline"),
+    (SOURCE_MIX, "source_mix"),
+    (STR, "next_watch"),
+    (STRS, "related_signal_ids"),
+    (STR, "enrichment_error enrichment_provider error_category"),
+    (BOOL, "fallback_generated"),
+    (INT, "enrichment_version"),
+    (STR, "backfill_reason previous_status"),
+    (TS, "created_at updated_at"),
 )
 
-OUTCOMES = T.StructType.fromDDL(
-    "source_id STRING, status STRING, reason STRING, fetched BIGINT, received BIGINT, created BIGINT, "
-    "duplicates BIGINT, processed BIGINT"
+LINKS = shape((STR, "signal_id article_id role"))
+
+SIGNAL_TOPICS = shape(
+    (STR, "signal_id topic_slug method"),
+    (DBL, "confidence"),
+    (STR, "reason matched_by"),
+    (STRS, "matched_terms source_families source_types"),
 )
+
+SCORE_COMPONENTS = shape((STR, "signal_id component"), (DBL, "value"), (INT, "weight"), (DBL, "contribution"))
+
+CURSORS = shape((STR, "source_id"), (TS, "last_seen_published_at last_successful_fetch_at"))
+SEEN_IDS = shape((STR, "source_id external_id"))
