@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storyloom.operators.lineage import cut
 from storyloom.plans import derive
 from storyloom.session import configure
 
@@ -23,7 +24,17 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in derive.BASE:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return derive.table(self.spark, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _LANDED:
+            rows = derive.table(self.spark, self.sf_dir, name)
+            if name == "articles":  # the document file is one split; land it as several
+                rows = rows.repartition(self.spark.sparkContext.defaultParallelism, "article_id")
+            _LANDED[key] = cut(rows)
+        return _LANDED[key]
+
+
+# Derived input tables written once per session, as a pipeline would find them.
+_LANDED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def query(name: str, tables: tuple[str, ...] = (), sql: str | None = None):

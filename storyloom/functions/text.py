@@ -50,9 +50,12 @@ def title_key(c: Column | str) -> Column:
     return F.array_join(title_tokens(c), " ")
 
 
-def clip(c: Column | str, limit: int) -> Column:
-    """Clean text of at most ``limit`` characters, an ellipsis of three dots inside the limit."""
-    t = clean_text(c)
+def clip(c: Column | str, limit: int, cleaned: bool = False) -> Column:
+    """Clean text of at most ``limit`` characters, an ellipsis of three dots inside the limit.
+
+    ``cleaned``: the column already went through ``clean_text`` (long texts: once, in a column of its own).
+    """
+    t = _col(c) if cleaned else clean_text(c)
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.trim(F.substring(t, 1, limit - 3)), F.lit("...")))
 
 

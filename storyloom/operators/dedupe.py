@@ -359,23 +359,26 @@ def _finish(state: DataFrame, open_reads: DataFrame, memberships: DataFrame) ->
     )
 
     def in_order(pdf):
+        import itertools
+
         import pandas as pd
 
         latest: dict[str, dict[str, float]] = {}  # group -> source -> newest date of its leads
         out = []
         pdf = pdf.sort_values(["slot", "ask"], ascending=[True, False], kind="stable")
-        for slot, part in pdf.groupby("slot", sort=False):
-            asks, own = part[part["ask"].astype(bool)], part[~part["ask"].astype(bool)]
+        never = float("-inf")
+        columns = [pdf[c].tolist() for c in ("slot", "source_id", "gkey", "ask", "cross")]
+        columns += [pdf[c].astype("float64").fillna(never).tolist() for c in ("since", "t")]
+        for slot, lines in itertools.groupby(zip(*columns), key=lambda line: line[0]):
             taken = False
-            for source, gkey, cross, since in zip(asks["source_id"], asks["gkey"], asks["cross"], asks["since"]):
-                for other, newest in latest.get(gkey, {}).items():
-                    if (not cross or other != source) and (pd.isna(since) or newest >= since):
-                        taken = True
-            if not taken:
-                for source, gkey, t in zip(own["source_id"], own["gkey"], own["t"]):
-                    at = float("-inf") if pd.isna(t) else t
+            for _, source, gkey, ask, cross, since, t in lines:
+                if ask and not taken:
+                    taken = any(
+                        newest >= since for other, newest in latest.get(gkey, {}).items() if not cross or other != source
+                    )
+                elif not ask and not taken:
                     seen = latest.setdefault(gkey, {})
-                    seen[source] = max(seen.get(source, float("-inf")), at)
+                    seen[source] = max(seen.get(source, never), t)
             out.append((slot, "D" if taken else "L"))
         return pd.DataFrame(out, columns=["slot", "decided"])
 

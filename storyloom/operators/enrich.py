@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import (
-    ascii_word, cjk_count, clean_text, clip, clip_visible, contains_any, has_cjk, strip_terminal, visible_length,
+    SPACE, ascii_word, cjk_count, clean_text, clip, clip_visible, contains_any, has_cjk, strip_terminal, visible_length,
     with_terminal, word_count,
 )
 from ..functions.times import millis, order_key, ts_lit
@@ -40,14 +40,14 @@ CLAIMS = [
     (["连续性图文创作", "图文交错", "单次单模型调用", "共享上下文"], "一个重点应用方向是连续性图文创作输出，用单模型调用保持文本与图像内容的一致上下文"),
     (["机器人", "具身大脑", "复杂环境感知", "任务执行"], "报道还把该路线延伸到机器人感知、逻辑推演和任务执行等具身智能场景"),
 ]
-UNIFY = "(?i)NEO[-\\s]?unify"
+UNIFY = f"(?i)NEO(?:-|{SPACE})?unify"
 UNIFY_CLAIM = 1
 NO_TARGET_CLAIM = "来源提到项目已开放开源资料或部署入口"
 DEFAULT_MODEL = "相关模型"
 ONLY_TERMS = "主题线索集中在"
 MODEL_NAMES = [
-    ascii_word("SenseNova[-\\s]?[A-Za-z0-9.-]+"),
-    "(?i)" + ascii_word("NEO[-\\s]?unify"),
+    ascii_word(f"SenseNova(?:-|{SPACE})?[A-Za-z0-9.-]+"),
+    "(?i)" + ascii_word(f"NEO(?:-|{SPACE})?unify"),
     ascii_word("[A-Za-z]+-[A-Za-z0-9]+(?:-[A-Za-z0-9]+){1,3}"),
 ]
 # Wording of generated text.
@@ -89,10 +89,11 @@ def source_role(family: Column) -> Column:
 
 def enrichment_context(signals: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per (signal, member article) with source facts and clipped texts, ``place`` = article order."""
-    facts = articles.select(
+    texts = articles.withColumns({"c_excerpt": clean_text("excerpt"), "c_text": clean_text("text_for_ai")})
+    facts = texts.select(
         "article_id", "source_id", "title", "canonical_url", "published_at",
-        F.coalesce(clip("excerpt", EXCERPT_LIMIT), F.lit("")).alias("excerpt"),
-        F.coalesce(clip("text_for_ai", TEXT_LIMIT), F.lit("")).alias("text_for_ai"),
+        F.coalesce(clip("c_excerpt", EXCERPT_LIMIT, cleaned=True), F.lit("")).alias("excerpt"),
+        F.coalesce(clip("c_text", TEXT_LIMIT, cleaned=True), F.lit("")).alias("text_for_ai"),
         F.coalesce("full_text_display_allowed", F.lit(False)).alias("full_text_display_allowed"),
         order_key().alias("place"),
     )
@@ -114,11 +115,26 @@ def pending_enrichment(signals: DataFrame, retry: bool = False, ids: DataFrame |
     return rows if ids is None else rows.join(ids.select("signal_id"), "signal_id", "left_semi")
 
 
+def _has(text: Column, needle: str) -> Column:
+    """Whether the text has the needle, any white space standing for a space; cheap tests first."""
+    parts = needle.split(" ")
+    if len(parts) == 1:
+        return text.contains(needle)
+    both = text.contains(parts[0])
+    for p in parts[1:]:
+        both = both & text.contains(p)
+    return both & text.rlike(SPACE.join(parts))
+
+
 def _bits(text: Column) -> Column:
-    tests = [text.contains(t) for t in TERMS]
+    tests = [_has(text, t) for t in TERMS]
     for i, (needles, _) in enumerate(CLAIMS):
-        hit = contains_any(text, needles)
-        tests.append(hit | text.rlike(UNIFY) if i == UNIFY_CLAIM else hit)
+        hit = _has(text, needles[0])
+        for n in needles[1:]:
+            hit = hit | _has(text, n)
+        if i == UNIFY_CLAIM:
+            hit = hit | (F.lower(text).contains("unify") & text.rlike(UNIFY))
+        tests.append(hit)
     mask = F.lit(0).cast("long")
     for i, test in enumerate(tests):
         mask = mask + F.when(test, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
@@ -134,7 +150,6 @@ def _texts(signals: DataFrame, links: DataFrame, articles: DataFrame) -> DataFra
         signals.select("signal_id", F.lit("0").alias("place"), F.col("title").alias("text"))
         .unionByName(first.select("signal_id", F.lit("1").alias("place"), "text"))
         .unionByName(members.select("signal_id", F.concat(F.lit("2"), "place").alias("place"), F.col("text_for_ai").alias("text")))
-        .withColumn("text", clean_text("text"))
         .filter("text IS NOT NULL")
     )
 
@@ -153,7 +168,7 @@ def extract_terms_claims(signals: DataFrame, links: DataFrame, articles: DataFra
             F.array(*[F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(p), F.lit(0))), 1, MAX_NAMES) for p in MODEL_NAMES])
         ).alias("pattern", "names"),
     ).select("signal_id", "place", "pattern", F.posexplode("names").alias("pos", "name"))
-    firsts = found.withColumn("name", F.regexp_replace("name", "\\s+", " ")).groupBy("signal_id", "name").agg(
+    firsts = found.withColumn("name", F.regexp_replace("name", SPACE, " ")).groupBy("signal_id", "name").agg(
         F.min(F.struct("pattern", "place", "pos")).alias("seen")
     )
     turn = F.row_number().over(Window.partitionBy("signal_id").orderBy("seen"))

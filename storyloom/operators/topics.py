@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import clamp01, round3
 from ..functions.text import ascii_word
+from .lineage import cut
 from .summaries import measure
 
 # Controlled topics (slug, name, description).
@@ -232,7 +233,7 @@ def classify_signals(
     signals: DataFrame, links: DataFrame, articles: DataFrame, sources: DataFrame, suggestions: DataFrame | None = None
 ) -> DataFrame:
     """Topic rows of every signal."""
-    context = signal_context(signals, links, articles, sources)
+    context = cut(signal_context(signals, links, articles, sources))  # one small row per signal, texts read once
     suggested = None
     if suggestions is not None:
         suggested = suggested_topics(suggestions, topics_dim(signals.sparkSession))
