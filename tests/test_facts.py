@@ -86,7 +86,7 @@ def test_rss_file(spark, tmp_path):
         '<rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><item><guid isPermaLink="false">g1</guid>'
         "<title> A   title </title><link>https://x.com/1</link><pubDate>Mon, 20 Apr 2026 10:00:00 GMT</pubDate>"
         "<dc:creator>Ann</dc:creator><category>c1</category><description><![CDATA[<p>Some <b>AI</b> text</p>]]></description></item>"
-        "<item><title>No id</title><description>plain</description></item></channel></rss>"
+        "<item><title>No id</title><description>none</description></item></channel></rss>"
     )
     sources = spark.createDataFrame([("s1", "rss", "en", ["ai"])], "source_id STRING, source_type STRING, language STRING, filter_keywords ARRAY<STRING>")
     got = readers.read_rss(spark, str(tmp_path / "rss"), sources, "2026-04-21 00:00:00").collect()
