@@ -48,3 +48,42 @@ def _top_k(spark, sf_dir):
     from .top_k import top_k
 
     return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+_WORDS = r"string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op1_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, list_filter({_WORDS}, lambda w: w <> '') AS w FROM documents),
+    i AS (SELECT item_id, list_filter({_WORDS}, lambda w: w <> '') AS w FROM benchmark),
+    phrase AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, a, a + 9), ' ') AS p, least(len(w), 10) AS n
+      FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS a FROM i WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT n FROM phrase),
+    spot AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS a FROM d),
+    hits AS (SELECT spot.doc_id, a, s.n, item_id FROM spot, sizes s, phrase
+      WHERE a + s.n - 1 <= len(w) AND phrase.n = s.n AND phrase.p = array_to_string(list_slice(w, a, a + s.n - 1), ' ')),
+    covered AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
+      FROM (SELECT doc_id, unnest(generate_series(a, a + n - 1)) AS pos FROM hits) GROUP BY doc_id),
+    listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN listed l ON l.doc_id = d.doc_id""",
+)
+def _decontaminate(spark, sf_dir):
+    from .decontaminate import decontaminate
+
+    return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+# Fixed rules of the registered query: (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op2_url_filter")
+def _url_filter(spark, sf_dir):
+    from .url_filter import url_filter
+
+    return url_filter(load(spark, sf_dir, "pages"), URL_RULES)
