@@ -87,3 +87,11 @@ def _url_filter(spark, sf_dir):
     from .url_filter import url_filter
 
     return url_filter(load(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op3_quality")
+def _quality(spark, sf_dir):
+    from .quality import classify
+
+    rows = classify(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_words", "votes", F.round("posterior", 6).alias("posterior"), "score", "keep")
