@@ -93,15 +93,15 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return post, table, prior
 
 
-def fit(features: np.ndarray, target: np.ndarray, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> np.ndarray:
-    """Weights and bias (last) of a logistic scorer for soft targets; both classes weigh alike."""
-    x = np.hstack([features, np.ones((len(features), 1))])
-    junk = max(target.sum(), 1.0)
-    weight = target / junk + (1 - target) / max((1 - target).sum(), 1.0)
-    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+def fit(features: np.ndarray, target: np.ndarray, bias: float, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic scorer for soft targets.
+
+    ``bias`` is given (the log odds of junk), so a text of few words stays near the prior.
+    """
+    w, m, v = np.zeros(features.shape[1]), np.zeros(features.shape[1]), np.zeros(features.shape[1])
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - target)) + ridge * w
+        p = 1 / (1 + np.exp(-np.clip(features @ w + bias, -30, 30)))
+        g = features.T @ (p - target) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return w
@@ -115,7 +115,7 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
     """``docs`` with n_words, votes (one digit a labeller), posterior (of junk), score (of junk) and keep.
 
     All rows come back, repeated ones each for itself.  A null or empty text has
-    no words, gets no votes and the scorer's bias; it is kept unless junk is the
+    no words, gets no votes and the prior as score; it is kept unless junk is the
     rule.  Equal texts get equal scores.  An empty table gives no rows.
     """
     rows = shaped(docs).withColumn("votes", F.concat(*[v.cast("string") for v in votes()]))
@@ -123,7 +123,7 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
     seen = cut(table)
     counts = seen.groupBy("votes").count().orderBy("votes").collect()  # at most 3 ** labellers rows
     patterns = np.array([[int(c) for c in r.votes] for r in counts], dtype=int).reshape(-1, len(NAMES))
-    posterior, _, _ = expectation_maximisation(patterns, np.array([r["count"] for r in counts], dtype=float))
+    posterior, _, prior = expectation_maximisation(patterns, np.array([r["count"] for r in counts], dtype=float))
     known = {r.votes: float(p) for r, p in zip(counts, posterior, strict=True)}
 
     # The scorer's documents: those with the smallest hashes, a fixed choice of at most ``sample``.
@@ -143,12 +143,13 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
     at = cells["text_hash"].map(texts).to_numpy(dtype=int)
     np.add.at(features, (at, cells["b"].to_numpy(dtype=int)), cells["share"].to_numpy(dtype=float))
     target[at] = cells["votes"].map(known).to_numpy(dtype=float)
-    weights = fit(features, target) if len(texts) else np.zeros(DIMS + 1)
+    bias = float(round(np.log(prior / (1 - prior)), 6))
+    weights = fit(features, target, bias)
 
-    learned = F.lit([float(round(w, 6)) for w in weights[:-1]])
+    learned = F.lit([float(round(w, 6)) for w in weights])
     total = F.aggregate("shapes", F.lit(0.0), lambda a, s: a + F.element_at(learned, bucket(s) + 1))
     n = F.size("shapes")
-    z = total / (n + NEUTRAL) + F.lit(float(round(weights[-1], 6)))
-    prior = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.create_map().cast("map<string,double>")
-    out = rows.withColumns({"n_words": n.cast("long"), "posterior": F.try_element_at(prior, F.col("votes")), "score": F.round(1 / (1 + F.exp(-z)), 6)})
+    z = total / (n + NEUTRAL) + F.lit(bias)
+    posteriors = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.create_map().cast("map<string,double>")
+    out = rows.withColumns({"n_words": n.cast("long"), "posterior": F.try_element_at(posteriors, F.col("votes")), "score": F.round(1 / (1 + F.exp(-z)), 6)})
     return out.withColumn("keep", F.col("score") < threshold).drop("tokens", "shapes")
