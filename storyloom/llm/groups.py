@@ -1,0 +1,28 @@
+"""Connected components by rounds of small joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of all nodes of ``edges`` (a, b): the smallest node that can be reached.
+
+    Each round sends every node's label over its edges (aggregated before the
+    shuffle, so a hub costs its size) and then follows the label's own label,
+    which doubles the reach; tables are written every round.
+    """
+    both = cut(edges.select("a", "b").filter("a <> b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).filter("a <> b")).distinct())
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.toDF("node", "old").join(near, "node").select("node", "old", F.least("old", "near").alias("label"))
+        jump = labels.toDF("label", "far")
+        step = cut(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")))
+        changed = step.filter("label <> old").limit(1).count()
+        labels = step.select("node", "label")
+        if not changed:
+            return labels

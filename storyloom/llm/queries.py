@@ -95,3 +95,10 @@ def _quality(spark, sf_dir):
 
     rows = classify(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "votes", F.round("posterior", 6).alias("posterior"), "score", "keep")
+
+
+@query("op8_jaccard_join")
+def _jaccard_join(spark, sf_dir):
+    from .jaccard import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
