@@ -102,3 +102,15 @@ def _jaccard_join(spark, sf_dir):
     from .jaccard import near_duplicates
 
     return near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# Target shares of the registered query; what is not listed divides the rest.
+MIX = {"source": {"src1": 0.1, "src2": 0.1}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": {"prose": 0.7}}
+
+
+@query("op6_mix_sources")
+def _mix_sources(spark, sf_dir):
+    from .mixing import mix_sources
+
+    rows = mix_sources(load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), **MIX)
+    return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"))
