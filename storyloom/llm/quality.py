@@ -9,6 +9,8 @@ those posteriors, gives every document its score.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,53 +21,69 @@ DIMS = 1_024  # hash buckets of the scorer
 SAMPLE = 5_000  # documents that fit the scorer (bound); everything else covers all documents
 ROUNDS = 50
 NEUTRAL = 5  # tokens without weight that are added to every text, so a few words don't decide alone
-THRESHOLD = 0.5
+THRESHOLD = 0.7
 NAMES = ("symbols", "capitals", "bars", "repeats", "variety", "marks", "sentences", "letters", "plain")
 
 
 def shaped(docs: DataFrame) -> DataFrame:
     """Adds ``tokens`` (white-space words) and ``shapes``: A for capitals, a for other letters, 0 for
-    digits, other characters as they are, runs as one; ``=`` follows where a word repeats the one before."""
-    text = F.regexp_replace(F.regexp_replace(text_of(), r"(?U)\p{Lu}+", "A"), r"(?U)[\p{L}\p{M}&&[^\p{Lu}]]+", "a")
+    digits, other characters as they are, runs as one; ``=`` follows where a word repeats the one before.
+    Beyond ASCII all that is no capital counts as a letter."""
+    text = F.regexp_replace(F.regexp_replace(text_of(), r"\p{Lu}+", "A"), r"[a-z\x{AA}-\x{10FFFF}]+", "a")
     text = F.regexp_replace(F.regexp_replace(text, r"[0-9]+", "0"), r"([^\sAa0])\1+", "$1")
-    blank = r"[\s ]+"
-    rows = docs.withColumns({"tokens": F.array_remove(F.split(text_of(), blank), ""), "plain": F.array_remove(F.split(text, blank), "")})
+    rows = docs.withColumns({"tokens": F.array_remove(F.split(text_of(), r"\s+"), ""), "plain": F.array_remove(F.split(text, r"\s+"), "")})
     again = lambda s, i: F.when((i > 0) & (F.get("tokens", i) == F.get("tokens", i - 1)), F.concat(s, F.lit("="))).otherwise(s)
     return rows.withColumn("shapes", F.transform("plain", again)).drop("plain")
 
 
-def votes() -> list[Column]:
-    """One column per labeller of NAMES: 2 junk, 1 good, 0 no vote.  Needs ``tokens`` and ``shapes``.
+def with_votes(rows: DataFrame) -> DataFrame:
+    """``shaped`` rows with ``votes``: one digit per labeller of NAMES, 2 junk, 1 good, 0 no vote.
 
     Most labellers look for one kind of junk and have nothing to say on texts
     without it; ``letters`` and ``plain`` overlap with all of them, and only
-    ``plain`` also votes good.
+    ``plain`` also votes good.  Shares are of the tokens, counted on the shapes
+    written one after the other.
     """
+    rows = rows.withColumn("line", F.concat(F.lit(" "), F.array_join("shapes", " "), F.lit(" ")))
     n = F.greatest(F.size("shapes"), F.lit(1))
-    share = lambda pattern: F.size(F.filter("shapes", lambda s: s.rlike(pattern))) / n
+    size = F.char_length("line")
+    without = lambda *what: F.char_length(_stripped(F.col("line"), what))
+    marked = lambda pattern: F.regexp_replace("line", pattern, "\u0001")
+    share = lambda pattern: (F.char_length(marked(pattern)) - F.char_length(_stripped(marked(pattern), ["\u0001"]))) / n
 
     def vote(junk: Column, good: Column, least: int = 1) -> Column:
-        return F.when(F.size("shapes") < least, 0).when(junk, 2).when(good, 1).otherwise(0)
-
-    def above(pattern: str, junk: float, least: int = 1) -> Column:
-        return vote(share(pattern) > junk, F.lit(False), least)
-
-    variety = F.size(F.array_distinct("tokens")) / n
-    ends = share(r"[.!?]=?$")
-    plain = share(r"^A?a?[.,;:]?$")
-    letters = F.char_length(F.regexp_replace(F.array_join("shapes", ""), r"[^Aa0]", "")) / F.greatest(F.char_length(F.array_join("shapes", "")), F.lit(1))
+        return F.when(F.size("shapes") < least, "0").when(junk, "2").when(good, "1").otherwise("0")
+
+    rows = rows.withColumns(
+        {
+            "_symbols": share(r"[^ ]*[^Aa0.,;:!?'’\"()\-=| ][^ ]*"),
+            "_capitals": share(r" [^a ]*A[^a ]*(?= )"),
+            "_bars": share(r" [^Aa0 ]+(?= )"),
+            "_repeats": (size - without("= ")) / 2 / n,
+            "_variety": F.size(F.array_distinct("tokens")) / n,
+            "_marks": share(r"[!?]=? "),
+            "_ends": share(r"[.!?]=? "),
+            "_letters": (size - without("A", "a", "0")) / F.greatest(size - n, F.lit(1)),
+            "_plain": share(r" A?a?[.,;:]?(?= )"),
+        }
+    )
     never = F.lit(False)
-    return [
-        above(r"[^Aa0.,;:!?'’\"()\-=|]", 0.3),
-        above(r"^[^a]*A[^a]*$", 0.5, 5),
-        above(r"^[^Aa0]+$", 0.2, 5),
-        above(r"=$", 0.3, 5),
-        F.when(F.size("shapes") > 1_000, 0).otherwise(vote(variety < 0.2, never, 30)),
-        above(r"[!?]=?$", 0.5, 5),
-        vote((ends > 0.6) | (ends < 0.005), never, 30),
-        vote(letters < 0.72, never, 5),
-        vote(plain < 0.7, plain > 0.85, 5),
+    each = [
+        vote(F.col("_symbols") > 0.3, never),
+        vote(F.col("_capitals") > 0.5, never, 5),
+        vote(F.col("_bars") > 0.2, never, 5),
+        vote(F.col("_repeats") > 0.3, never, 5),
+        F.when(F.size("shapes") > 1_000, "0").otherwise(vote(F.col("_variety") < 0.2, never, 30)),
+        vote(F.col("_marks") > 0.5, never, 5),
+        vote((F.col("_ends") > 0.6) | (F.col("_ends") < 0.005), never, 30),
+        vote(F.col("_letters") < 0.72, never, 5),
+        vote(F.col("_plain") < 0.7, F.col("_plain") > 0.85, 5),
     ]
+    return rows.withColumn("votes", F.concat(*each)).drop("line", *[f"_{name}" for name in NAMES if name != "sentences"], "_ends")
+
+
+def _stripped(text: Column, what) -> Column:
+    return reduce(lambda t, x: F.replace(t, F.lit(x), F.lit("")), what, text)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -111,31 +129,34 @@ def bucket(shape: Column) -> Column:
     return F.pmod(F.xxhash64(shape), F.lit(DIMS)).cast("int")
 
 
+def weak_labels(docs: DataFrame) -> tuple[DataFrame, dict[str, float], float]:
+    """(text_hash, votes) of all rows, the posterior of junk by vote pattern, and the share of junk."""
+    seen = cut(with_votes(shaped(docs)).select(F.xxhash64(text_of()).alias("text_hash"), "votes"))
+    counts = seen.groupBy("votes").count().orderBy("votes").collect()  # at most 3 ** labellers rows
+    patterns = np.array([[int(c) for c in r.votes] for r in counts], dtype=int).reshape(-1, len(NAMES))
+    posterior, _, prior = expectation_maximisation(patterns, np.array([r["count"] for r in counts], dtype=float))
+    return seen, {r.votes: float(p) for r, p in zip(counts, posterior, strict=True)}, prior
+
+
 def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with n_words, votes (one digit a labeller), posterior (of junk), score (of junk) and keep.
+    """``docs`` with n_words, score (of junk) and keep.
 
     All rows come back, repeated ones each for itself.  A null or empty text has
     no words, gets no votes and the prior as score; it is kept unless junk is the
     rule.  Equal texts get equal scores.  An empty table gives no rows.
     """
-    rows = shaped(docs).withColumn("votes", F.concat(*[v.cast("string") for v in votes()]))
-    table = rows.select(F.xxhash64(text_of()).alias("text_hash"), "votes", F.size("shapes").alias("n"))
-    seen = cut(table)
-    counts = seen.groupBy("votes").count().orderBy("votes").collect()  # at most 3 ** labellers rows
-    patterns = np.array([[int(c) for c in r.votes] for r in counts], dtype=int).reshape(-1, len(NAMES))
-    posterior, _, prior = expectation_maximisation(patterns, np.array([r["count"] for r in counts], dtype=float))
-    known = {r.votes: float(p) for r, p in zip(counts, posterior, strict=True)}
-
+    seen, known, prior = weak_labels(docs.select("text"))
     # The scorer's documents: those with the smallest hashes, a fixed choice of at most ``sample``.
-    chosen = seen.select("text_hash").distinct().orderBy("text_hash").limit(sample)
+    chosen = cut(seen.distinct().orderBy("text_hash").limit(sample))
     last = chosen.agg(F.max("text_hash")).first()[0]
-    fit_on = shaped(docs.filter(F.xxhash64(text_of()) <= F.lit(last))).withColumn("votes", F.concat(*[v.cast("string") for v in votes()]))
+    fit_on = docs.select("text").filter(F.xxhash64(text_of()) <= F.lit(last))
     cells = (
-        fit_on.select(F.xxhash64(text_of()).alias("text_hash"), "votes", "shapes")
+        shaped(fit_on).select(F.xxhash64(text_of()).alias("text_hash"), "shapes")
         .dropDuplicates(["text_hash"])
-        .select("text_hash", "votes", F.size("shapes").alias("n"), F.explode("shapes").alias("shape"))
-        .groupBy("text_hash", "votes", "n", bucket(F.col("shape")).alias("b"))
+        .select("text_hash", F.size("shapes").alias("n"), F.explode("shapes").alias("shape"))
+        .groupBy("text_hash", "n", bucket(F.col("shape")).alias("b"))
         .agg((F.count("*") / (F.col("n") + NEUTRAL)).alias("share"))
+        .join(F.broadcast(chosen), "text_hash")
         .toPandas()
     )
     texts = {h: i for i, h in enumerate(cells["text_hash"].unique())}
@@ -150,6 +171,5 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
     total = F.aggregate("shapes", F.lit(0.0), lambda a, s: a + F.element_at(learned, bucket(s) + 1))
     n = F.size("shapes")
     z = total / (n + NEUTRAL) + F.lit(bias)
-    posteriors = F.create_map(*[F.lit(x) for kv in known.items() for x in kv]) if known else F.create_map().cast("map<string,double>")
-    out = rows.withColumns({"n_words": n.cast("long"), "posterior": F.try_element_at(posteriors, F.col("votes")), "score": F.round(1 / (1 + F.exp(-z)), 6)})
+    out = shaped(docs).withColumns({"n_words": n.cast("long"), "score": F.round(1 / (1 + F.exp(-z)), 6)})
     return out.withColumn("keep", F.col("score") < threshold).drop("tokens", "shapes")

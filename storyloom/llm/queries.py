@@ -94,7 +94,7 @@ def _quality(spark, sf_dir):
     from .quality import classify
 
     rows = classify(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_words", "votes", F.round("posterior", 6).alias("posterior"), "score", "keep")
+    return rows.select("doc_id", "n_words", "score", "keep")
 
 
 @query("op8_jaccard_join")
