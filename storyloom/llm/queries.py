@@ -114,3 +114,15 @@ def _mix_sources(spark, sf_dir):
 
     rows = mix_sources(load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), **MIX)
     return rows.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 9).alias("probability"))
+
+
+@query("op7_personal_data")
+def _personal_data(spark, sf_dir):
+    from .pii import KINDS, listed, personal_data
+
+    rows = personal_data(load(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(listed(KINDS), 256).alias("base_sha256"),
+        listed((*KINDS, "term")).alias("spans"), F.size("term").cast("long").alias("n_term"),
+    )
