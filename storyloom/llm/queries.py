@@ -126,3 +126,30 @@ def _personal_data(spark, sf_dir):
         F.sha2(listed(KINDS), 256).alias("base_sha256"),
         listed((*KINDS, "term")).alias("spans"), F.size("term").cast("long").alias("n_term"),
     )
+
+
+@query(
+    "op5_sentence_spans",
+    r"""
+    WITH parts AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?\n])([^.!?])', E'\\1\x01\\2', 'g'), E'\x01'), lambda s: s <> '') AS s
+      FROM (SELECT doc_id, regexp_replace(text, '(\n)([^.!?])', E'\\1\x01\\2', 'g') AS text FROM documents)),
+    spot AS (SELECT doc_id, unnest(s) AS raw, unnest(generate_series(0, len(s) - 1)) AS pos FROM parts),
+    said AS (SELECT doc_id, pos, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS s FROM spot),
+    placed AS (SELECT doc_id, pos, s, row_number() OVER w AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM said
+      WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    run AS (SELECT doc_id, pos, r, n, last_value(pos) OVER w AS last, list(s) OVER w AS s FROM placed
+      WINDOW w AS (PARTITION BY doc_id ORDER BY r ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+    runs AS (SELECT * FROM run WHERE r <= greatest(n - 2, 1)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS k FROM runs),
+    gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, last)) AS pos FROM ranked WHERE k > 1)
+    SELECT d.doc_id, coalesce(any_value(p.n), 0) AS n_sentences, count(g.pos) FILTER (WHERE p.pos IS NOT NULL) AS n_removed,
+      coalesce(string_agg(raw, '' ORDER BY t.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+    FROM documents d LEFT JOIN spot t ON t.doc_id = d.doc_id LEFT JOIN placed p ON p.doc_id = t.doc_id AND p.pos = t.pos
+      LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.pos = t.pos
+    GROUP BY d.doc_id""",
+)
+def _sentence_spans(spark, sf_dir):
+    from .sentence_spans import remove_repeats
+
+    rows = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_sentences", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
