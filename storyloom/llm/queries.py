@@ -153,3 +153,10 @@ def _sentence_spans(spark, sf_dir):
 
     rows = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_sentences", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query("op4_brown_score")
+def _brown_score(spark, sf_dir):
+    from .brown import score_texts
+
+    return score_texts(load(spark, sf_dir, "documents").select("doc_id", "text"))
