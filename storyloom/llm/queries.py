@@ -160,3 +160,11 @@ def _brown_score(spark, sf_dir):
     from .brown import score_texts
 
     return score_texts(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op10_suffix_dedup")
+def _suffix_dedup(spark, sf_dir):
+    from .suffixes import remove_repeats
+
+    rows = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
