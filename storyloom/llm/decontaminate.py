@@ -122,7 +122,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slack: int
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one row per input row.
+    """(doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated), one row per input row.
 
     A word inside any occurrence of a phrase is hit.  Null texts have no words;
     null ids are kept; rows that repeat an id are judged each by its own text;
@@ -142,8 +142,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     out = key_join(key_join(base, hit, DOC, "left"), listed, DOC, "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        *DOC, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items_of), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no phrase of an item occurs; columns stay as they are."""
+    hit = cut(decontaminate(docs, items, window).filter("contaminated").select(*DOC).distinct())
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text_of()).alias("text_hash"))
+    return key_join(rows, small(hit), DOC, "left_anti").select("row.*")

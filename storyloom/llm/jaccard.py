@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, text_of
+from .common import cut, key_join, small, text_of
 from .groups import components
 
 NGRAM = 5
@@ -162,7 +162,7 @@ def _verify(rows: pd.DataFrame, n: int, similarity: float) -> pd.DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, class_id, n_copies, n_links, n_texts), one row per input row.
+    """(doc_id, class_id, n_copies, n_links, n_texts, text_hash, class_key), one row per input row.
 
     Words are lower-cased runs of letters and digits.  class_id is the smallest
     doc_id that verified links and equal words lead to; n_copies counts the rows
@@ -170,11 +170,12 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILAR
     ``similarity``, copies included; n_texts the different texts among them.
     Texts without words (null, empty) are alike to none: class_id is their own
     doc_id.  A null doc_id is a row without number; a class of such rows has a
-    null class_id.  Rows that repeat are copies.
+    null class_id.  Rows that repeat are copies.  class_key names the class whatever
+    the ids (null for texts without words), text_hash the whole text.
     """
     bands, rows = choose_bands(similarity, recall)
-    words = docs.select("doc_id", word_list(text_of()).alias("w"))
-    keyed = words.select("doc_id", F.when(F.size("w") > 0, F.md5(F.concat_ws(" ", "w"))).alias("key"))
+    words = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), word_list(text_of()).alias("w"))
+    keyed = words.select("doc_id", "text_hash", F.when(F.size("w") > 0, F.md5(F.concat_ws(" ", "w"))).alias("key"))
     keyed = cut(keyed)
     classes = keyed.filter("key is not null").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
     texts = words.filter(F.size("w") > 0).select(F.md5(F.concat_ws(" ", "w")).alias("key"), F.transform("w", lambda x: F.xxhash64(x)).alias("words"))
@@ -207,10 +208,30 @@ def near_duplicates(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILAR
     known = classes.join(degrees, "key", "left").join(trees, "key", "left").withColumn("tree", F.coalesce("tree", "key"))
     known = cut(known)
     lead = known.groupBy("tree").agg(F.min("first_id").alias("class_id"))
-    facts = cut(known.join(lead, "tree").select("key", "copies", "class_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts")))
+    facts = cut(known.join(lead, "tree").select("key", "copies", "class_id", "tree", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts")))
     out = keyed.join(facts, "key", "left")
     one = F.coalesce("copies", F.lit(1))
     return out.select(
         "doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         one.alias("n_copies"), (one - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"),
+        "text_hash", F.col("tree").alias("class_key"),
     )
+
+
+def keep_one(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each class of near duplicates: that of the smallest doc_id (null last), then text hash.
+
+    Texts without words are alike to none and all stay; columns stay as they are.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), n, similarity).filter("class_key is not null")
+    rows = cut(found.groupBy("class_key", "doc_id", "text_hash").agg(F.count("*").alias("times")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "text_hash")).alias("first")
+    best = rows.groupBy("class_key").agg(first)
+    ranked = rows.join(best, "class_key").withColumn("is_first", F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")))
+    key = ["doc_id", "text_hash"]
+    # All but the rows that stay, and the rows that stay but come several times.
+    others = cut(ranked.filter("NOT is_first OR times > 1").select(*key, "is_first"))
+    packed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text_of()).alias("text_hash"))
+    single = key_join(packed, small(others.select(*key)), key, "left_anti")
+    several = key_join(packed, small(others.filter("is_first").select(*key)), key, "left_semi").dropDuplicates(key)
+    return single.unionByName(several).select("row.*")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, key_join, small, text_of
 
 DIMS = 1_024  # hash buckets of the scorer
 SAMPLE = 5_000  # documents that fit the scorer (bound); everything else covers all documents
@@ -173,3 +173,12 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
     z = total / (n + NEUTRAL) + F.lit(bias)
     out = shaped(docs).withColumns({"n_words": n.cast("long"), "score": F.round(1 / (1 + F.exp(-z)), 6)})
     return out.withColumn("keep", F.col("score") < threshold).drop("tokens", "shapes")
+
+
+def good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept; columns stay as they are."""
+    key = ["doc_id", "text_hash"]
+    scored = classify(docs.select("doc_id", "text"), threshold).select("doc_id", F.xxhash64(text_of()).alias("text_hash"), "keep")
+    rejected = cut(cut(scored).filter("NOT keep").select(*key).distinct())
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64(text_of()).alias("text_hash"))
+    return key_join(rows, small(rejected), key, "left_anti").select("row.*")

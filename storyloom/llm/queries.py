@@ -75,7 +75,7 @@ _WORDS = r"string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 def _decontaminate(spark, sf_dir):
     from .decontaminate import decontaminate
 
-    return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return decontaminate(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 # Fixed rules of the registered query: (verdict, host, path).
@@ -101,7 +101,7 @@ def _quality(spark, sf_dir):
 def _jaccard_join(spark, sf_dir):
     from .jaccard import near_duplicates
 
-    return near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(load(spark, sf_dir, "documents")).drop("text_hash", "class_key")
 
 
 # Target shares of the registered query; what is not listed divides the rest.
