@@ -119,7 +119,7 @@ def stream_date_summary(t):
     landing, out = _folder(t, "signals"), _folder(t, "days")
     rows = t.signals_fx.select("signal_id", "status", F.col("primary_published_at").cast("timestamp").alias("primary_published_at"))
     rows.repartition(3, "signal_id").write.parquet(landing)
-    days = inc.stream_date_summary(inc.landing_records(t.spark, landing, rows.schema, 1), "60 days")
+    days = inc.stream_date_summary(inc.landing_records(t.spark, landing, rows.schema, 1))
     inc.start(days, _sink(out), _folder(t, "ckpt"), None, "update").awaitTermination()
     return t.spark.read.parquet(out).groupBy("date").agg(F.max_by("signal_count", "batch").alias("signal_count"))
 

@@ -21,13 +21,13 @@ def _safe(c):
 def _items(t):
     n = F.substring("article_id", 5, 20).cast("long")
     return t.articles.select(
-        "source_id", n.alias("n"), _safe("title").alias("title"), _safe("excerpt").alias("excerpt"), "published_at",
+        "source_id", n.alias("n"), _safe("title").alias("title"), _safe("text_for_ai").alias("excerpt"), "published_at",
         F.concat(F.lit("https://items.example.com/"), n.cast("string")).alias("url"),
     )
 
 
 ITEMS = """items AS (SELECT source_id, CAST(substr(article_id, 5) AS BIGINT) AS n, regexp_replace(title, '[^A-Za-z0-9 ]', ' ', 'g') AS title,
-    regexp_replace(excerpt, '[^A-Za-z0-9 ]', ' ', 'g') AS excerpt, published_at, 'https://items.example.com/' || CAST(substr(article_id, 5) AS BIGINT) AS url FROM articles)"""
+    regexp_replace(text_for_ai, '[^A-Za-z0-9 ]', ' ', 'g') AS excerpt, published_at, 'https://items.example.com/' || CAST(substr(article_id, 5) AS BIGINT) AS url FROM articles)"""
 TITLE, BODY = clean("title"), clean("excerpt || ' tail'")
 
 
@@ -208,7 +208,7 @@ def read_newsapi(t):
     "read_hacker_news",
     BASE,
     f""", {ITEMS} SELECT source_id, CAST(n AS VARCHAR) AS external_id, {TITLE} AS title, CASE WHEN n % 2 = 0 THEN url ELSE 'https://news.ycombinator.com/item?id=' || n END AS url, published_at,
-    {BODY} AS summary, 'hacker_news' AS categories, n % 40 AS comments FROM items WHERE n % 90 < 60 AND n % 7 <> 3 AND n % 11 <> 5 AND n % 13 <> 2 AND published_at IS NOT NULL
+    {BODY} AS summary, 'hacker_news' AS categories, n % 40 AS comments FROM items WHERE n % 90 < 60 AND n % 7 <> 3 AND n % 11 <> 5 AND n % 13 <> 2
     AND contains(lower(concat_ws(' ', title, CASE WHEN n % 2 = 0 THEN url END, excerpt)), 'e')""",
 )
 def read_hacker_news(t):
@@ -218,7 +218,7 @@ def read_hacker_news(t):
         F.unix_timestamp(F.col("published_at").cast("timestamp")).alias("time"), "title", F.when(n % 2 == 0, F.col("url")).alias("url"),
         F.concat(F.lit("<p>"), "excerpt", F.lit("</p> <b>tail</b>")).alias("text"), (n % 40).alias("descendants"), (n % 90).alias("position"),
     )
-    lines = _json_lines(_items(t).filter("published_at IS NOT NULL"), item)
+    lines = _json_lines(_items(t), item)
     plan = _no_keywords(t).withColumns({"fetch_limit": F.lit(60), "query": F.lit("E")})
     r = readers.read_hacker_news(t.spark, _land(lines), plan, NOW)
     return _flat(r, F.get_json_object("payload", "$.rawPayload.commentsCount").cast("long").alias("comments"))
@@ -282,7 +282,7 @@ def _raw(t):
     """Raw items of the research, product and page-backed sources from landed payloads."""
     n = F.col("n")
     i = t.articles.select(
-        "source_id", F.substring("article_id", 5, 20).cast("long").alias("n"), _safe("title").alias("title"), _safe("excerpt").alias("excerpt"), "published_at"
+        "source_id", F.substring("article_id", 5, 20).cast("long").alias("n"), _safe("title").alias("title"), _safe("text_for_ai").alias("excerpt"), "published_at"
     ).join(t.sources.select("source_id", "source_type"), "source_id")
     inner = F.struct(
         F.when(n % 2 == 0, F.concat(F.lit("10.9/"), n.cast("string"))).alias("DOI"), (n % 100).alias("citationCount"), (n % 50).alias("votesCount"),

@@ -125,8 +125,29 @@ def contains_any(c: Column, needles: list[str]) -> Column:
 
 
 def unescape_html(c: Column) -> Column:
-    """The common named entities and the ampersand last."""
-    # Named entities.
-    for name, char in [("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("amp", "&")]:
+    """Numeric entities, the common named ones, and the ampersand last."""
+    c = _numeric_entities(c)
+    for name, char in ENTITIES:
         c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
     return c
+
+
+# Named entities, the ampersand last.
+ENTITIES = [
+    ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("mdash", "—"), ("ndash", "–"), ("hellip", "…"),
+    ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("laquo", "«"), ("raquo", "»"), ("bull", "•"),
+    ("middot", "·"), ("copy", "©"), ("reg", "®"), ("trade", "™"), ("euro", "€"), ("amp", "&"),
+]
+
+
+def _numeric_entities(c: Column) -> Column:
+    """``&#8217;`` and ``&#x2019;`` as characters; numbers beyond Unicode stay as they are."""
+
+    def decoded(part: Column, i: Column) -> Column:
+        digits, hexed = F.regexp_extract(part, "^([0-9]{1,7});", 1), F.regexp_extract(part, "^[xX]([0-9A-Fa-f]{1,6});", 1)
+        number = F.when(digits != "", digits.cast("long")).when(hexed != "", F.conv(hexed, 16, 10).cast("long"))
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(i == 0, part).when(valid, F.concat(char, F.regexp_replace(part, "^[xX]?[0-9A-Fa-f]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(F.split(c, "&#"), decoded), "")).otherwise(c)

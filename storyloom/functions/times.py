@@ -40,10 +40,16 @@ def age_hours(then: Column | str, now: Column) -> Column:
 
 
 def to_ts(c: Column | str) -> Column:
-    """ISO, mail-style, or bare-year text as a timestamp; anything else becomes null."""
+    """ISO, mail-style, written-out, slashed or bare-year text as a timestamp; anything else becomes null."""
     t = clean_text(c)
-    iso = F.when(t.rlike("^[0-9]{4}(-|T|$)"), F.try_to_timestamp(t))
+    day = F.regexp_replace(t, "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2")
+    day = F.regexp_replace(day, "^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})", "$1-$2-$3")
+    iso = F.when(day.rlike("^[0-9]{4}(-|T|$)"), F.try_to_timestamp(day))
     mail = F.regexp_replace(t, "^[A-Za-z]{3,9},\\s*", "")
+    # Written-out months to three letters, dates without a time to midnight UTC, two-digit years to this century.
+    mail = F.regexp_replace(mail, "^([A-Za-z]{3})[a-z]*\\.? ([0-9]{1,2}),? ([0-9]{4})$", "$2 $1 $3")
+    mail = F.regexp_replace(mail, "^([0-9]{1,2}) ([A-Za-z]{3})[a-z]* ([0-9]{4})$", "$1 $2 $3 00:00 +0000")
+    mail = F.regexp_replace(mail, "^([0-9]{1,2})[ -]([A-Za-z]{3})[ -]([0-9]{2}) ", "$1 $2 20$3 ")
     for name, offset in ZONES.items():
         mail = F.regexp_replace(mail, f"\\s{name}$", f" {offset}")
     return F.coalesce(

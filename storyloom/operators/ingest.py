@@ -94,9 +94,9 @@ def filter_stats(marked: DataFrame) -> DataFrame:
 
 
 def content_hash(payload: Column | str) -> Column:
-    """SHA-256 of a JSON payload with its keys sorted at every level."""
+    """SHA-256 of a JSON payload with its keys sorted at every level; of the text as it is where it is no JSON."""
     p = F.col(payload) if isinstance(payload, str) else payload
-    return F.sha2(F.to_json(F.parse_json(p)), 256)
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(p)), p), 256)
 
 
 def fold_batch(records: DataFrame, order: list[str] | None = None) -> DataFrame:
@@ -145,9 +145,16 @@ def split_new(raw: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]
 # --- cursors, health, schedule --------------------------------------------------------
 
 
-def advance_cursors(cursors: DataFrame, kept: DataFrame, fetched_at) -> DataFrame:
-    """Cursor positions after a fetch (seen ids: ``advance_seen``)."""
-    newest = kept.groupBy("source_id").agg(F.max("published_at").alias("newest"))
+def advance_cursors(cursors: DataFrame, kept: DataFrame, fetched_at, succeeded: DataFrame | None = None) -> DataFrame:
+    """Cursor positions after a fetch (seen ids: ``advance_seen``).
+
+    ``succeeded`` (source_id) are the sources whose fetch went well; one that
+    kept no records still moves its fetch time.
+    """
+    rows = kept.select("source_id", "published_at")
+    if succeeded is not None:
+        rows = rows.unionByName(succeeded.select("source_id", F.lit(None).cast("timestamp").alias("published_at")))
+    newest = rows.groupBy("source_id").agg(F.max("published_at").alias("newest"))
     touched = F.col("n.source_id").isNotNull()
     return cursors.alias("c").join(newest.alias("n"), F.col("c.source_id") == F.col("n.source_id"), "full").select(
         F.coalesce("c.source_id", "n.source_id").alias("source_id"),
@@ -208,7 +215,8 @@ def classify_outcomes(fetch_log: DataFrame) -> DataFrame:
     """``category`` and ``retryable`` from the HTTP status."""
     s = F.col("http_status")
     category = (
-        F.when(s.between(200, 299), "success")
+        F.when(s.isNull(), "transient_failure")  # no answer at all
+        .when(s.between(200, 299), "success")
         .when(s == 429, "rate_limited")
         .when(s.isin(401, 403), "configuration_error")
         .when(s >= 500, "transient_failure")

@@ -9,7 +9,6 @@ from ..functions.text import clean_text, unescape_html
 from ..functions.times import to_ts
 from ..functions.urls import strip_tracking
 
-MAX_BYTES = 5_000_000
 # Elements whose text is not part of the article.
 SKIPPED = ["script", "style", "noscript", "template", "nav", "iframe", "svg"]
 
@@ -37,14 +36,17 @@ def _visible(html: Column) -> Column:
     return out
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """(url, canonical_url, title, language, excerpt, published_at, author, page_text, extractor) per page.
+def extract_pages(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """(url, canonical_url, title, language, excerpt, published_at, author, page_text, extractor,
+    text_length, text_hash, error) per page.
 
-    The main text is the first ``<article>``, else the body; larger pages than
-    ``MAX_BYTES`` are left out, as the fetch limit would.
+    The main text is the first ``<article>``, else the body.  With ``max_bytes``
+    a larger page stays as a row without text whose error is ``page_too_large``.
     """
     html = F.col("html")
-    kept = pages.filter(F.octet_length("html") <= MAX_BYTES)
+    large = F.lit(False) if max_bytes is None else F.coalesce(F.octet_length("html") > max_bytes, F.lit(False))
+    marked = pages.withColumn("_error", F.when(large, "page_too_large"))
+    kept = marked.withColumn("html", F.when(F.col("_error").isNull(), html))
     body = _visible(html)
     first = kept.select("*", F.regexp_extract(body, "(?is)<article[^>]*>(.*?)</article\\s*>", 1).alias("_article"),
                         F.regexp_extract(body, "(?is)<body[^>]*>(.*?)</body\\s*>", 1).alias("_body"))
@@ -52,7 +54,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     canonical = unescape_html(_attribute(_tag(html, "link", "rel", "canonical"), "href"))
     page_title = unescape_html(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))
     root = F.regexp_extract(html, "(?is)(<html\\s[^>]*>)", 1)
-    return first.select(
+    facts = first.select(
         *[c for c in pages.columns if c != "html"],
         F.coalesce(canonical, strip_tracking("url")).alias("canonical_url"),
         F.coalesce(clean_text(meta(html, "og:title")), clean_text(page_title)).alias("title"),
@@ -62,4 +64,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         clean_text(meta(html, "author")).alias("author"),
         F.coalesce(plain(F.col("_article")), plain(F.col("_body"))).alias("page_text"),
         F.when(plain(F.col("_article")).isNotNull(), "article").otherwise("body").alias("extractor"),
+        F.col("_error").alias("error"),
     )
+    text = F.coalesce("page_text", F.lit(""))
+    return facts.withColumns({"text_length": F.length(text), "text_hash": F.sha2(text, 256)})

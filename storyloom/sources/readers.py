@@ -258,14 +258,14 @@ def read_newsapi(spark: SparkSession, path: str, sources: DataFrame, fetched_at,
 def read_hacker_news(spark: SparkSession, path: str, sources: DataFrame, fetched_at, multi_line: bool = False) -> DataFrame:
     """Item dump, one object per line; ``position`` is the place in the fetched id list.
 
-    Only the first ``fetch_limit`` places count, before stories are picked.
+    Only the first ``fetch_limit`` places count, before stories are picked; an item without a place stays.
     """
     plan = sources.select("source_id", F.col("fetch_limit"), F.lower("query").alias("needle"))
     text = F.lower(F.concat_ws(" ", F.nullif("title", F.lit("")), F.nullif("url", F.lit("")), F.nullif("text", F.lit(""))))
     rows = (
         _json(spark, path, HACKER_NEWS, multi_line)
         .join(plan, "source_id")
-        .filter(F.col("fetch_limit").isNull() | (F.col("fetch_limit") <= 0) | (F.col("position") < F.col("fetch_limit")))
+        .filter(F.col("fetch_limit").isNull() | (F.col("fetch_limit") <= 0) | F.col("position").isNull() | (F.col("position") < F.col("fetch_limit")))
         .filter((F.col("type") == "story") & ~F.coalesce("deleted", F.lit(False)) & ~F.coalesce("dead", F.lit(False)))
         .filter((F.coalesce("needle", F.lit("")) == "") | F.contains(text, F.col("needle")))
     )

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..operators import ingest, scoring
 from ..operators.ingest import content_hash, filter_lookback
 from ..schemas import RAW_ITEMS, RECORDS
-from ..sources.tables import read_version, write_version
+from ..sources.tables import path_exists, read_version, write_version
 
 EVERY = "30 minutes"
 
@@ -79,10 +79,9 @@ def first_seen_exact(root: str, write: Callable[[DataFrame, int], None]) -> Call
         spark = batch.sparkSession
         folder = f"{root}/seen"
         empty = spark.createDataFrame([], "source_id STRING, external_id STRING, batch BIGINT")
-        try:
+        known = empty
+        if path_exists(spark, folder):
             known = spark.read.schema(empty.schema).parquet(folder).filter(F.col("batch") < batch_id)
-        except Exception:  # noqa: BLE001 - nothing written yet
-            known = empty
         fresh = batch.dropDuplicates(["source_id", "external_id"]).join(known, ["source_id", "external_id"], "left_anti")
         write(fresh, batch_id)
         fresh.select("source_id", "external_id").write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
@@ -123,12 +122,15 @@ def health_handler(root: str, start_rows: DataFrame) -> Callable[[DataFrame, int
     return handle
 
 
-def stream_date_summary(signals: DataFrame, late: str = "7 days") -> DataFrame:
-    """Visible signals per UTC day (update mode)."""
+def stream_date_summary(signals: DataFrame) -> DataFrame:
+    """Visible signals per UTC day (update mode).
+
+    Publication dates lie any time back, so there is no watermark: the state is
+    one row a day.
+    """
     shown = signals.filter(~F.coalesce(F.col("status"), F.lit("")).isin("hidden", "deleted"))
     return (
-        shown.withWatermark("primary_published_at", late)
-        .groupBy(F.window("primary_published_at", "1 day"))
+        shown.groupBy(F.window("primary_published_at", "1 day"))
         .agg(F.count("*").alias("signal_count"))
         .select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "signal_count")
     )
