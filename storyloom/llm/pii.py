@@ -78,7 +78,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, email, ip, card, phone, around) of every row, written once.
+    """(row, doc_id, text_hash, email, ip, card, phone, around) of every row, numbered and written once.
 
     ``around`` has (kind, value, start, stop, context) of each mention, where
     context is the text within REACH characters, from code point ``start`` on.
@@ -97,13 +97,13 @@ def found(docs: DataFrame) -> DataFrame:
     any_found = reduce(lambda a, b: a | b, [F.size(k) > 0 for k in KINDS])
     around = F.when(any_found, F.concat(*[context(k) for k in KINDS]))
     plain = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-    return cut(rows.select("doc_id", "text_hash", *[plain(k).alias(k) for k in KINDS], around.alias("around")))
+    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", *[plain(k).alias(k) for k in KINDS], around.alias("around")))
 
 
 def term_spans(mentions: DataFrame) -> DataFrame:
     """(…, term, at, to) of the terms in each mention's context, in code points of the text; not those inside the mention."""
     at = F.explode(spans_of(F.col("context"), TERM)).alias("t")
-    rows = mentions.select("doc_id", "text_hash", "kind", "value", "start", "stop", "low", "context", at)
+    rows = mentions.select("row", "doc_id", "text_hash", "kind", "value", "start", "stop", "low", "context", at)
     rows = rows.select("*", (F.col("t.start") + F.col("low")).alias("at"), (F.col("t.stop") + F.col("low")).alias("to"), F.lower("t.value").alias("term")).drop("t", "low")
     # A word cut by the edge of the context is no term.
     inner = ((F.col("at") > F.col("start") - REACH) | (F.col("at") == 0)) & (F.col("to") < F.col("stop") + REACH)
@@ -113,20 +113,19 @@ def term_spans(mentions: DataFrame) -> DataFrame:
 def disclosing(docs: DataFrame, terms: DataFrame, total: int, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(kind, value, term, disclosure): terms that give an entity away.
 
-    With N = ``total`` different texts, PMI = log2(N * both / (term * entity)) over the numbers of
-    different texts, and disclosure = PMI / log2(N / entity).  ``both`` counts
-    different surroundings (so copies count once for support); a term that also
-    stands in many other texts has low PMI.
+    With N = ``total`` texts, PMI = log2(N * both / (term * entity)) over the numbers
+    of texts that have them, and disclosure = PMI / log2(N / entity).  Support counts
+    different surroundings, so copies count once; a term that also stands in many
+    other texts has low PMI.
     """
     pairs = terms.groupBy("kind", "value", "term").agg(
-        F.count_distinct(F.xxhash64("context")).alias("surroundings"), F.count_distinct("text_hash").alias("both")
+        F.count_distinct(F.xxhash64("context")).alias("surroundings"), F.count_distinct("row").alias("both")
     )
     pairs = cut(pairs.filter(F.col("surroundings") >= support))
-    entities = cut(terms.groupBy("kind", "value").agg(F.count_distinct("text_hash").alias("entity")))
+    entities = cut(terms.groupBy("kind", "value").agg(F.count_distinct("row").alias("entity")))
     wanted = small(cut(pairs.select("term").distinct()))
-    words = docs.select(F.xxhash64(text_of()).alias("text_hash"), F.explode(F.array_distinct(F.split(F.lower(text_of()), r"\P{L}+"))).alias("term"))
-    # Copies of a text count once: postings of the few asked terms only.
-    spread = words.join(wanted, "term").groupBy("term", "text_hash").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("spread"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of()), r"\P{L}+"))).alias("term"))
+    spread = words.join(wanted, "term").groupBy("term").agg(F.count("*").alias("spread"))
     rows = pairs.join(small(cut(spread)), "term").join(small(entities), ["kind", "value"])
     n = F.greatest(F.lit(float(total)), F.col("spread"), F.col("entity"))
     pmi = F.log2(n * F.col("both") / (F.col("spread") * F.col("entity")))
@@ -143,14 +142,14 @@ def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int
     """
     docs = docs.select("doc_id", "text")
     base = found(docs)
-    mentions = base.filter("around is not null").select("doc_id", "text_hash", F.explode("around").alias("m")).select("doc_id", "text_hash", "m.*")
+    mentions = base.filter("around is not null").select("row", "doc_id", "text_hash", F.explode("around").alias("m")).select("row", "doc_id", "text_hash", "m.*")
     terms = cut(term_spans(mentions))
-    risky = disclosing(docs, terms, base.select("text_hash").distinct().count(), disclosure, support)
+    risky = disclosing(docs, terms, base.count(), disclosure, support)
     hits = terms.join(small(risky.drop("disclosure")), ["kind", "value", "term"])
     per_doc = hits.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_set(F.struct(F.col("at").alias("start"), F.col("to").alias("stop")))).alias("term")
     )
-    out = key_join(base.drop("around"), cut(per_doc), ["doc_id", "text_hash"], "left")
+    out = key_join(base.drop("row", "around"), cut(per_doc), ["doc_id", "text_hash"], "left")
     return out.withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
 
 
