@@ -102,7 +102,8 @@ def threshold(scored: DataFrame) -> float:
     )
     rest = Window.orderBy(F.desc("place"))  # at most 2 * REACH / BIN rows
     whole = Window.partitionBy(F.lit(0))
-    gain = F.sum("a").over(rest) / F.sum("a").over(whole) - F.sum("b").over(rest) / F.sum("b").over(whole)
+    share = lambda c: F.try_divide(F.sum(c).over(rest), F.sum(c).over(whole))
+    gain = share("a") - share("b")
     best = bins.select("place", gain.alias("gain")).filter(F.col("gain").isNotNull()).orderBy(F.desc("gain"), F.abs("place"), "place").first()
     return best.place * BIN if best else 0.0
 
