@@ -89,8 +89,8 @@ def gram_ratios(train: DataFrame, asked: DataFrame, order: int = MAX_ORDER) -> D
 
 
 def threshold(scored: DataFrame) -> float:
-    """The score from which on a URL is allowed: the bin edge with the largest share of allowed
-    URLs at or above it less that of blocked ones; of equals the one nearest to 0.
+    """The score from which on a URL is allowed: the middle between two neighbouring bins with the
+    largest share of allowed URLs above it less that of blocked ones; of equals the one nearest to 0.
 
     ``scored`` has verdict, score and times (how often the URL occurs) of held-out
     labelled URLs.  0 if one kind is missing.
@@ -104,8 +104,9 @@ def threshold(scored: DataFrame) -> float:
     whole = Window.partitionBy(F.lit(0))
     share = lambda c: F.try_divide(F.sum(c).over(rest), F.sum(c).over(whole))
     gain = share("a") - share("b")
-    best = bins.select("place", gain.alias("gain")).filter(F.col("gain").isNotNull()).orderBy(F.desc("gain"), F.abs("place"), "place").first()
-    return best.place * BIN if best else 0.0
+    edge = (F.col("place") + F.coalesce(F.lead("place").over(Window.orderBy(F.desc("place"))) + 1, F.col("place"))) / 2
+    best = bins.select(edge.alias("edge"), gain.alias("gain")).filter(F.col("gain").isNotNull()).orderBy(F.desc("gain"), F.abs("edge"), "edge").first()
+    return best.edge * BIN if best else 0.0
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], order: int = MAX_ORDER, id_column: str = "page_id", url_column: str = "url") -> DataFrame:

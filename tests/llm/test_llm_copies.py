@@ -159,3 +159,12 @@ def test_pipeline_stages(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_strings_of_many_surroundings_are_counted_over_the_cluster(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = " ".join(sentence(rng) for _ in range(7))
+    data = [(k, f"{sentence(rng)} {passage[k % 5 :]} {sentence(rng)} {sentence(rng)}") for k in range(20)]
+    monkeypatch.setattr(suffixes, "LARGE", 2)
+    got = suffixes.remove_repeats(plain(spark, data)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    same([tuple(r) for r in got], suffixes.brute_force(data))

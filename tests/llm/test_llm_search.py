@@ -127,7 +127,7 @@ def test_top_k_equals_brute_force(spark):
 
     rng = random.Random(3)
     data = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(260)]
-    data += [(300, data[0][1]), (301, data[0][1]), (302, None), (303, [None] * 5), (304, [float("nan")] * 5), (305, [float("inf"), 0, 0, 0, 0.0]), (None, data[1][1])]
+    data += [(300, data[0][1]), (301, data[0][1]), (302, None), (303, [None] * 5), (304, [float("nan")] * 5), (305, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (None, data[1][1])]
     data += [data[4], (5, [0.0] * 5), (400, [1.0, 2.0]), (401, [3.0, 4.0]), (402, [])]
     frame = spark.createDataFrame([(i, v, 1, "d") for i, v in data], "vec_id long, embedding array<float>, dim int, near string")
     import struct
