@@ -25,7 +25,7 @@ def _star(key: str, name: str) -> str:
       ON a.k = b.k AND b.rn < a.rn AND a.source_id <> b.source_id GROUP BY a.article_id),
     heads AS (SELECT k, article_id FROM ranked WHERE rn = 1)
     SELECT r.article_id, r.k AS {name}, r.group_size, g.n_sources,
-      CASE WHEN r.rn > 1 THEN h.article_id END AS first_article_id, o.first_other AS first_other_source_id
+      CASE WHEN r.rn > 1 THEN h.article_id END AS first_article_id, o.first_other AS first_other_article_id
     FROM ranked r JOIN grp g ON g.k = r.k JOIN heads h ON h.k = r.k LEFT JOIN other o ON o.article_id = r.article_id WHERE r.group_size > 1"""
 
 

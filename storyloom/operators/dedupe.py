@@ -36,10 +36,6 @@ EXACT_CONFIDENCE = 0.98
 HEAT_SHARE, CREDIBILITY_SHARE = 0.2, 0.12
 HALF_UNIT = 0.0005
 
-# Rounds run on the whole table until no more look-ups than this are open.
-MIN_ROUNDS = 1
-TAIL_ROWS = 200_000
-
 _WINDOW_MS = WINDOW_HOURS * 3600 * 1000
 _HOUR_MS = 3600 * 1000
 _UNDATED = "u"
@@ -51,7 +47,7 @@ _UNDATED = "u"
 def _groups(articles: DataFrame, key: Column) -> DataFrame:
     """Each article next to the first article of its group and the first one of another source.
 
-    Linear in the group: two aggregates, no pairs.
+    Linear in the group: aggregates of one row per source, no pairs and no lists.
     """
     rows = articles.select("article_id", "source_id", order_key().alias("okey"), key.alias("k")).filter(
         "k IS NOT NULL AND k <> ''"
@@ -59,22 +55,22 @@ def _groups(articles: DataFrame, key: Column) -> DataFrame:
     per_source = rows.groupBy("k", "source_id").agg(F.min("okey").alias("first_key"), F.count("*").alias("n"))
     groups = (
         per_source.groupBy("k")
-        .agg(
-            F.sum("n").alias("group_size"),
-            F.count("*").alias("n_sources"),
-            F.min(F.struct("first_key", "source_id")).alias("m1"),
-            # one entry per source of the group
-            F.array_sort(F.collect_list(F.struct("first_key", "source_id"))).alias("firsts"),
-        )
+        .agg(F.sum("n").alias("group_size"), F.count("*").alias("n_sources"), F.min(F.struct("first_key", "source_id")).alias("m1"))
         .filter("group_size > 1")
-        .select("k", "group_size", "n_sources", "m1", F.try_element_at("firsts", F.lit(2)).alias("m2"))
     )
-    other = F.when(F.col("m1.source_id") != F.col("source_id"), F.col("m1.first_key")).otherwise(F.col("m2.first_key"))
+    second = (
+        per_source.join(groups.select("k", F.col("m1.source_id").alias("best")), "k")
+        .filter("source_id <> best")
+        .groupBy("k")
+        .agg(F.min("first_key").alias("second_key"))
+    )
+    groups = groups.join(second, "k", "left")
+    other = F.when(F.col("m1.source_id") != F.col("source_id"), F.col("m1.first_key")).otherwise(F.col("second_key"))
     ident = lambda c: F.substring_index(c, "|", -1)
     return rows.join(groups, "k").select(
         "article_id", "k", "group_size", "n_sources",
         F.when(F.col("m1.first_key") < F.col("okey"), ident(F.col("m1.first_key"))).alias("first_article_id"),
-        F.when(other < F.col("okey"), ident(other)).alias("first_other_source_id"),
+        F.when(other < F.col("okey"), ident(other)).alias("first_other_article_id"),
     )
 
 
@@ -214,7 +210,7 @@ def _look_ups(slots: DataFrame, pairs: DataFrame) -> DataFrame:
     ``since`` (ms) limits the look-up to members published then or later.
     """
     since_none = F.lit(None).cast("long")
-    own = _memberships(slots.withColumn("t", F.col("t"))).filter(
+    own = _memberships(slots).filter(
         ~F.substring("gkey", 1, 1).isin("t", "a")
     ).select("slot", "source_id", "gkey", "cross", since_none.alias("since"))
 
@@ -262,14 +258,20 @@ def _useful(reads: DataFrame, memberships: DataFrame, total: int) -> tuple[DataF
 def _two_best(per_source: DataFrame, columns: dict[str, tuple[str, bool]]) -> DataFrame:
     """Per group the two best sources of each measure: enough to answer "best of another source".
 
-    ``columns``: output -> (input, larger_is_better).  One list entry per source.
+    ``columns``: output -> (input, larger_is_better).  The best of all sources,
+    then the best of the others: two aggregates.
     """
-    aggs = []
-    for out, (col, larger) in columns.items():
-        entries = F.collect_list(F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("v"), F.col("source_id").alias("s"))))
-        ordered = F.sort_array(entries, asc=not larger)
-        aggs.append(F.slice(ordered, 1, 2).alias(out))
-    return per_source.groupBy("gkey").agg(*aggs)
+    pick = lambda larger: F.max if larger else F.min
+    entry = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("source_id").alias("s")))
+    best = per_source.groupBy("gkey").agg(*[pick(larger)(entry(c)).alias(f"_{out}") for out, (c, larger) in columns.items()])
+    others = per_source.join(best, "gkey").groupBy("gkey").agg(
+        *[F.first(f"_{out}").alias(f"_{out}") for out in columns],
+        *[
+            pick(larger)(F.when(F.col("source_id") != F.col(f"_{out}.s"), entry(c))).alias(f"_{out}_2")
+            for out, (c, larger) in columns.items()
+        ],
+    )
+    return others.select("gkey", *[F.array_compact(F.array(f"_{out}", f"_{out}_2")).alias(out) for out in columns])
 
 
 def _other(best: str) -> Column:
@@ -297,38 +299,29 @@ def solve_slots(slots: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFram
     """(state, look-ups, memberships): status L (lead) or D (duplicate) for every slot.
 
     Each round decides every slot whose earlier neighbours allow it; the first
-    undecided slot always is decided, so the loop ends.
+    undecided slot always is decided, so the loop ends.  A round works on the
+    open look-ups and their groups only.  ``slots`` is a written table.
     """
-    slots = cut(slots)
     memberships = cut(_memberships(slots))
     reads, hot = _useful(_look_ups(slots, pairs), memberships, slots.count())
     reads = cut(reads)
-    # Groups nobody looks up play no part in the rounds.
-    asked = memberships.join(reads.select("gkey").distinct(), "gkey", "left_semi")
     readers = reads.select("slot").distinct()
     state = cut(
         slots.select("slot")
         .join(readers.withColumn("reads", F.lit(True)), "slot", "left")
         .select("slot", F.when(F.col("reads"), "U").otherwise("L").alias("status"))
     )
-    rounds = 0
-    while True:
-        open_reads = reads.join(state.filter("status = 'U'").select("slot"), "slot", "left_semi")
-        left = open_reads.count() if rounds >= MIN_ROUNDS else None
-        if left == 0:
-            break
-        last = left is not None and left <= TAIL_ROWS
-        state = cut(_round(state, open_reads, asked, hot, leads_too=not last))
-        if last:
-            rest = open_reads.join(state.filter("status = 'U'").select("slot"), "slot", "left_semi")
-            state = cut(_finish(state, rest, asked))
-            break
-        rounds += 1
+    # Groups nobody looks up play no part in the rounds.
+    open_reads = reads
+    while not open_reads.isEmpty():
+        asked = memberships.join(open_reads.select("gkey").distinct(), "gkey", "left_semi")
+        state = cut(_round(state, open_reads, asked, hot))
+        open_reads = cut(open_reads.join(state.filter("status = 'U'").select("slot"), "slot", "left_semi"))
     return state, reads, memberships
 
 
-def _round(state: DataFrame, open_reads: DataFrame, asked: DataFrame, hot: DataFrame, leads_too: bool) -> DataFrame:
-    """Mark slots with an earlier lead D and, unless told otherwise, slots without open earlier neighbours L."""
+def _round(state: DataFrame, open_reads: DataFrame, asked: DataFrame, hot: DataFrame) -> DataFrame:
+    """Mark slots with an earlier lead D, and slots without open earlier neighbours L."""
     seen = salted_lookup(open_reads, _group_state(asked, state), "gkey", F.col("slot"), hot)
     earlier = lambda low, latest: F.coalesce(
         F.when(F.col("since").isNull(), _other(low) < F.col("slot")).otherwise(_other(latest) >= F.col("since")),
@@ -338,54 +331,10 @@ def _round(state: DataFrame, open_reads: DataFrame, asked: DataFrame, hot: DataF
         F.bool_or(earlier("lead_min", "lead_t")).alias("has_lead"), F.bool_or(earlier("any_min", "any_t")).alias("has_any")
     )
     undecided = F.col("status") == "U"
-    status = F.when(undecided & F.coalesce("has_lead", F.lit(False)), "D")
-    if leads_too:
-        status = status.when(undecided & ~F.coalesce("has_any", F.lit(False)), "L")
+    status = F.when(undecided & F.coalesce("has_lead", F.lit(False)), "D").when(undecided & ~F.coalesce("has_any", F.lit(False)), "L")
     return state.join(verdict, "slot", "left").select("slot", status.otherwise(F.col("status")).alias("status"))
 
 
-def _finish(state: DataFrame, open_reads: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Decide the last undecided slots in slot order in one task; their number has been checked.
-
-    None of them has an earlier lead among the decided ones (the round before
-    marked those), so they can only claim each other.
-    """
-    undecided = state.filter("status = 'U'").select("slot")
-    groups = memberships.join(undecided, "slot", "left_semi").select("slot", "source_id", "t", "gkey")
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = open_reads.select("slot", "source_id", "gkey", "cross", "since", none("long").alias("t"), F.lit(True).alias("ask"))
-    rows = rows.unionByName(
-        groups.select("slot", "source_id", "gkey", none("boolean").alias("cross"), none("long").alias("since"), "t", F.lit(False).alias("ask"))
-    )
-
-    def in_order(pdf):
-        import itertools
-
-        import pandas as pd
-
-        latest: dict[str, dict[str, float]] = {}  # group -> source -> newest date of its leads
-        out = []
-        pdf = pdf.sort_values(["slot", "ask"], ascending=[True, False], kind="stable")
-        never = float("-inf")
-        columns = [pdf[c].tolist() for c in ("slot", "source_id", "gkey", "ask", "cross")]
-        columns += [pdf[c].astype("float64").fillna(never).tolist() for c in ("since", "t")]
-        for slot, lines in itertools.groupby(zip(*columns), key=lambda line: line[0]):
-            taken = False
-            for _, source, gkey, ask, cross, since, t in lines:
-                if ask and not taken:
-                    taken = any(
-                        newest >= since for other, newest in latest.get(gkey, {}).items() if not cross or other != source
-                    )
-                elif not ask and not taken:
-                    seen = latest.setdefault(gkey, {})
-                    seen[source] = max(seen.get(source, never), t)
-            out.append((slot, "D" if taken else "L"))
-        return pd.DataFrame(out, columns=["slot", "decided"])
-
-    done = rows.withColumn("tail", F.lit(0)).groupBy("tail").applyInPandas(in_order, "slot STRING, decided STRING")
-    return state.join(done, "slot", "left").select("slot", F.coalesce("decided", "status").alias("status"))
-
-
 def first_since(leads: DataFrame, asks: DataFrame) -> DataFrame:
     """For (gkey, since) rows the earliest lead of the group published at ``since`` or later.
 

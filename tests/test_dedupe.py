@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from brute import dedupe as sequential
 
-from storyloom.operators import dedupe
+from storyloom.operators import dedupe, skew
 
 T0 = datetime(2024, 1, 10)
 COLS = "article_id STRING, source_id STRING, canonical_url STRING, title STRING, published_at TIMESTAMP, created_at TIMESTAMP, content_hash STRING, dedupe_status STRING"
@@ -45,8 +45,8 @@ def test_same_as_the_sequential_pass(spark, seed):
     assert {r.article_id: r.candidate_of for r in got if r.candidate_of} == cand
 
 
-def test_rounds_alone_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(dedupe, "TAIL_ROWS", 0)
+def test_salted_groups_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(skew, "MIN_HOT_ROWS", 1)
     rows = random_rows(7, 40)
     dup, cand = sequential(rows)
     got = dedupe.assign_duplicates(frame(spark, rows)).collect()
