@@ -423,3 +423,41 @@ def write_documents(t):
     path = f"{shared_folder(t.spark)}/documents-{uuid.uuid4().hex}"
     tables.write_documents(t.links_fx, path)
     return t.spark.read.schema("signal_id STRING, article_id STRING, role STRING").json(path)
+
+
+# --- address and name helpers over the page and article tables ---------------------------------
+
+
+@query(
+    "strip_tracking",
+    (),
+    r"""SELECT page_id, CASE WHEN q = '' THEN base ELSE base || '?' || q END AS clean_url
+    FROM (SELECT page_id, base, array_to_string(list_filter(string_split(query, '&'), lambda p: NOT starts_with(p, 'utm_')), '&') AS q
+      FROM (SELECT page_id, CASE WHEN contains(u, '/') THEN head || u ELSE head || u || '/' END AS base, query
+        FROM (SELECT page_id, split_part(url, '://', 1) || '://' AS head,
+            regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') AS u, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages)))""",
+)
+def strip_tracking(t):
+    from storyloom.functions.urls import strip_tracking as strip
+
+    return t.pages.select("page_id", strip("url").alias("clean_url"))
+
+
+@query(
+    "slugify",
+    BASE,
+    """ SELECT article_id, coalesce(nullif(substr(trim(regexp_replace(lower(title), '[^a-z0-9一-鿿]+', '-', 'g'), '-'), 1, 72), ''), 'signal') || '-' || right(article_id, 4) AS slug FROM articles""",
+)
+def slugify(t):
+    from storyloom.functions.text import slugify as slug
+
+    return t.articles.select("article_id", slug("title", F.substring("article_id", -4, 4)).alias("slug"))
+
+
+@query(
+    "fallback_external_id",
+    BASE,
+    """ SELECT article_id, sha256(concat_ws('|', title, canonical_url, strftime(published_at, '%Y-%m-%dT%H:%M:%S.000Z'))) AS external_id FROM articles""",
+)
+def fallback_external_id(t):
+    return t.articles.select("article_id", readers.fallback_external_id(F.col("title"), F.col("canonical_url"), F.col("published_at")).alias("external_id"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from ..functions.times import age_hours, order_key, ts_lit
 
 # Hours an article stays fresh, by source family.
@@ -141,23 +142,18 @@ def verdict_batches(candidates: DataFrame, size: int = VERDICT_BATCH, buckets: i
     inside id-range slices and the (few) slice sizes are added as offsets.
     """
     keyed = candidates.withColumn("okey", order_key())
-    spans = keyed.repartitionByRange(buckets, "okey").withColumn("slice", F.spark_partition_id())
-    sizes = spans.groupBy("slice").agg(F.count("*").alias("n"), F.min("okey").alias("first_key"))
-    offsets = sizes.withColumn(
-        "before",
-        F.coalesce(F.sum("n").over(Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select("first_key", "before", F.lead("first_key").over(Window.orderBy("first_key")).alias("next_key"))
-    # at most ``buckets`` rows
-    placed = keyed.join(
-        F.broadcast(offsets),
-        (F.col("okey") >= F.col("first_key")) & (F.col("next_key").isNull() | (F.col("okey") < F.col("next_key"))),
-    )
-    number = F.row_number().over(Window.partitionBy("first_key").orderBy("okey")) + F.col("before") - 1
+    # The slice of a row is written down, so it stays the same when a task runs again.
+    spans = cut(keyed.repartitionByRange(buckets, "okey").withColumn("slice", F.spark_partition_id()))
+    sizes = spans.groupBy("slice").agg(F.count("*").alias("n"))
+    earlier = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = spans.join(F.broadcast(offsets), "slice")  # at most ``buckets`` rows
+    number = F.row_number().over(Window.partitionBy("slice").orderBy("okey")) + F.col("before") - 1
     return (
         placed.withColumn("number", number)
         .withColumn("batch_no", F.floor(F.col("number") / size))
         .withColumn("position", (F.col("number") % size).cast("int"))
-        .drop("okey", "first_key", "next_key", "before", "number")
+        .drop("okey", "slice", "before", "number")
     )
 
 

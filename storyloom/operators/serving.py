@@ -509,7 +509,8 @@ def search(
         hits = [*(hits or []), distinct[at : at + 60]]
     names = [f"m{i}" for i in range(len(hits))]
     ids = links.join(rows.select("signal_id"), "signal_id", "left_semi")
-    matched = articles.select(
+    asked = articles.join(ids.select("article_id").distinct(), "article_id", "left_semi")  # texts of the filtered signals only
+    matched = asked.select(
         "article_id", *[_hits(["title", "excerpt", "text_for_ai"], part).alias(n) for n, part in zip(names, hits)]
     )
     members = ids.join(matched, "article_id").groupBy("signal_id").agg(*[F.bit_or(n).alias(f"members_{n}") for n in names])

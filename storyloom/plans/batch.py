@@ -14,7 +14,7 @@ from ..functions.times import ts_lit
 from ..operators import cluster, dedupe, enrich, ingest, normalize, quality, scoring, topics
 from ..operators.lineage import cut
 from ..schemas import (
-    CURSORS, LINKS, RAW_ITEMS, RELATION_KEY, RELATIONS, SCORE_COMPONENTS, SEEN_IDS, SIGNAL_TOPICS, SIGNALS, STORED_ARTICLES,
+    CURSORS, HEALTH, LINKS, RAW_ITEMS, RELATION_KEY, RELATIONS, SCHEDULE, SCORE_COMPONENTS, SEEN_IDS, SIGNAL_TOPICS, SIGNALS, STORED_ARTICLES,
 )
 from ..sources.tables import read_version, upsert, write_version
 
@@ -107,7 +107,8 @@ class Inputs:
     records: DataFrame
     pages: DataFrame
     available_refs: DataFrame | None = None
-    failed_sources: DataFrame | None = None  # (source_id, reason) of fetches that failed
+    # (source_id, reason) of fetches that failed; http_status, attempts and retry_after where they are known
+    failed_sources: DataFrame | None = None
     verdicts: DataFrame | None = None
     suggestions: DataFrame | None = None
     outputs: DataFrame | None = None  # (signal_id, content) from a model
@@ -123,10 +124,12 @@ def run_batch(spark: SparkSession, root: str, inputs: Inputs, options: RunOption
     write = lambda name, df: write_version(df, root, name, run_id)
     out: dict[str, DataFrame] = {}
 
-    # Which sources run, and what of their records is new.
+    # Which sources run, and what of their records is new.  The last run's schedule goes before the source list's.
+    planned = read("schedule", SCHEDULE).select("source_id", F.col("next_fetch_at").alias("_planned"))
+    known_sources = inputs.sources.join(planned, "source_id", "left").withColumn("next_fetch_at", F.coalesce("_planned", "next_fetch_at")).drop("_planned")
     refs = inputs.available_refs if inputs.available_refs is not None else spark.createDataFrame([], "ref STRING")
     readiness = ingest.mark_not_due(
-        ingest.source_readiness(inputs.sources, refs), inputs.sources, options.mode, options.force, now
+        ingest.source_readiness(known_sources, refs), known_sources, options.mode, options.force, now
     )
     failed = inputs.failed_sources if inputs.failed_sources is not None else spark.createDataFrame([], "source_id STRING, reason STRING")
     cursors, seen = read("cursors", CURSORS), read("seen_ids", SEEN_IDS)
@@ -144,9 +147,11 @@ def run_batch(spark: SparkSession, root: str, inputs: Inputs, options: RunOption
     known = duplicates.groupBy("source_id").agg(F.count("*").alias("duplicates"))
     stats = ingest.filter_stats(marked).select("source_id", F.col("input").alias("received"), F.col("kept").alias("fetched"))
     out["raw_items"] = write("raw_items", conform(ingest.upsert_raw_items(raw_before, kept), RAW_ITEMS))
-    out["cursors"] = write("cursors", conform(ingest.advance_cursors(cursors, kept, now), CURSORS))
+    out["cursors"] = write("cursors", conform(ingest.advance_cursors(cursors, kept, now, running), CURSORS))
     out["seen_ids"] = write("seen_ids", ingest.advance_seen(seen, kept))
 
+    _record_fetches(read, write, out, known_sources, readiness, running, failed, now)
+
     # New raw items become articles; every stored article is judged again.
     fresh = out["raw_items"].join(created, ingest.RECORD_KEY, "left_semi")
     candidates, errors = normalize.normalize(fresh, inputs.sources, inputs.pages)
@@ -227,6 +232,25 @@ def run_batch(spark: SparkSession, root: str, inputs: Inputs, options: RunOption
     return out
 
 
+def _record_fetches(read, write, out, sources, readiness, running, failed, now) -> None:
+    """Health and next fetch of every source that was asked in this run."""
+    log = failed
+    for name, kind in (("http_status", "int"), ("attempts", "int"), ("retry_after", "timestamp")):
+        if name not in log.columns:
+            log = log.withColumn(name, F.lit(None).cast(kind))
+    asked = readiness.filter("status = 'ready'").select("source_id")
+    log = log.join(asked, "source_id", "left_semi").select("source_id", "http_status", F.coalesce("attempts", F.lit(0)).alias("attempts"), "retry_after")
+    went_well = running.select("source_id", F.lit(200).alias("http_status"), F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("retry_after"))
+    results = cut(ingest.classify_outcomes(log.unionByName(went_well)))
+    before = read("health", HEALTH)
+    fresh = sources.select("source_id").join(before.select("source_id"), "source_id", "left_anti")
+    rows = before.unionByName(conform(fresh, HEALTH))
+    ok = F.col("category") == "success"
+    outcomes = results.select("source_id", ts_lit(now).alias("at"), F.lit(0).alias("seq"), ok.alias("ok"), F.when(~ok, F.col("category")).alias("error_category"))
+    out["health"] = write("health", conform(ingest.update_health(rows, outcomes), HEALTH))
+    out["schedule"] = write("schedule", conform(ingest.next_fetch(sources, results, now), SCHEDULE))
+
+
 def _enriched(signals: DataFrame, waiting: DataFrame, links: DataFrame, articles: DataFrame, inputs: Inputs) -> DataFrame:
     context = enrich.enrichment_context(waiting, links, articles, inputs.sources)
     fallback = cut(enrich.fallback_outputs(waiting, context, enrich.extract_terms_claims(waiting, links, articles)))

@@ -103,4 +103,8 @@ SIGNAL_TOPICS = shape(
 SCORE_COMPONENTS = shape((STR, "signal_id component"), (DBL, "value"), (INT, "weight"), (DBL, "contribution"))
 
 CURSORS = shape((STR, "source_id"), (TS, "last_seen_published_at last_successful_fetch_at"))
+HEALTH = shape(
+    (STR, "source_id"), (TS, "last_successful_at last_failure_at"), (T.LongType(), "failure_count"), (STR, "last_error_category")
+)
+SCHEDULE = shape((STR, "source_id"), (TS, "next_fetch_at"))
 SEEN_IDS = shape((STR, "source_id external_id"))
