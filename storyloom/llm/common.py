@@ -10,6 +10,7 @@ from storyloom.operators.lineage import cut
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Rows up to which a written table may be broadcast; its rows are counted first.
 BROADCAST_ROWS = 200_000
+BROADCAST_CELLS = 4_000_000
 
 __all__ = ["BROADCAST_ROWS", "ascii_lower", "cut", "key_join", "load", "small", "text_of"]
 
@@ -36,6 +37,14 @@ def key_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_right_{k}" for k in keys])
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if it is counted to have few rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, cells: Column | None = None) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if it is counted to be small, else as it is.
+
+    Small means at most ``rows`` rows and, where rows hold lists, at most
+    BROADCAST_CELLS in the sum of ``cells``, the numbers that a row holds.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return df
+    if cells is not None and (df.agg(F.sum(cells)).first()[0] or 0) > BROADCAST_CELLS:
+        return df
+    return F.broadcast(df)

@@ -55,7 +55,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """
     runs = cut(spans(docs, span))
     first = runs.groupBy("hash").agg(F.min(F.struct(*DOC, "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    both = runs.join(small(cut(first.select("hash", "first"))), "hash")
+    both = runs.join(cut(first.select("hash", "first")), "hash")
     here = F.struct(*DOC, "pos")
     return both.filter(~here.eqNullSafe(F.col("first"))).select(*DOC, "pos", "last")
 
@@ -75,7 +75,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
         .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", "last")))).alias("_gone"))
     )
     rows = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64(text_of())})
-    joined = key_join(rows, cut(gone).toDF("_id", "_hash", "_gone"), ["_id", "_hash"], "left")
+    joined = key_join(rows, small(cut(gone), cells=F.size("_gone")).toDF("_id", "_hash", "_gone"), ["_id", "_hash"], "left")
     joined = joined.withColumn("_parts", sentences(text_of()))
     lost = F.coalesce("_gone", F.array().cast("array<int>"))
     flags = F.transform("_parts", lambda s, i: F.struct(s.alias("s"), F.array_contains(lost, i).alias("lost")))
