@@ -48,7 +48,7 @@ SELECT concat('art_', lpad(CAST(d.doc_id AS STRING), 9, '0')) AS article_id,
       CAST(d.doc_id % 260 AS STRING), CASE d.doc_id % 4 WHEN 0 THEN '?utm_source=x' WHEN 2 THEN '/' ELSE '#top' END)
     WHEN d.doc_id % 5 = 0 AND p.url IS NOT NULL THEN p.url WHEN d.doc_id % 11 = 7 THEN NULL
     ELSE concat('https://', d.source, '.example.com/a/', CAST(d.doc_id AS STRING)) END AS canonical_url,
-  trim(regexp_extract(d.text, '^[^.,|\\n]{{1,120}}', 0)) AS title,
+  trim(regexp_extract(d.text, '^[^.,|\\n]+', 0)) AS title,
   CASE WHEN d.lang = 'es' THEN 'zh' ELSE d.lang END AS language,
   substr(d.text, 1, 160) AS excerpt,
   CASE WHEN d.doc_id % 4 = 1 THEN NULL ELSE concat('Author ', CAST(d.doc_id % 37 AS STRING)) END AS author,
