@@ -62,6 +62,7 @@ def r2(expr: str) -> str:
     return f"(floor(({expr}) * 100.0 + 0.5) / 100.0)"
 
 
+# Stop words.
 _STOP = "['a','an','and','are','as','at','for','from','in','into','new','of','on','the','to','with']"
 
 
@@ -81,6 +82,7 @@ def clean(expr: str) -> str:
     return f"nullif(trim(regexp_replace({expr}, '[\\s\\x0b\\x{{a0}}\\x{{2000}}-\\x{{200a}}\\x{{3000}}]+', ' ', 'g')), '')"
 
 
+# Quality reasons, freshness hours by family.
 GRADED = f"""
 graded AS (
   SELECT a.*, s.family, s.trust_score, s.source_type,

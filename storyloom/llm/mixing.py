@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, cut, small, text_of
 
 ROUNDS = 12
+TOLERANCE = 1e-5  # relative change of a margin at which fitting ends
+TRIES, SEARCH = 30, 7  # scales tried in a pass, and passes
 MARGINS = ("source", "lang", "topic")
 
 # Topics by the first pattern that a text has, else prose.
@@ -56,28 +58,40 @@ def targets(cells: DataFrame, column: str, wanted: dict[str, float] | None, powe
     return cut(rows.select(column, (share / (whole or 1.0)).alias("target")))
 
 
-def rake(cells: DataFrame, margins: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` with ``raked``, the share of each cell after ``rounds`` of fitting all margins in turn.
+def rake(cells: DataFrame, margins: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` with ``raked``, the share of each cell after fitting all margins in turn.
 
-    Only the factors of the margins' values change from round to round, so a
-    round is one small aggregate per margin over the cells.  Null values are a
-    value like any other.
+    Each value of a margin has a factor, and a cell's share is its observed one
+    times its factors.  A step sums the shares by one margin and scales that
+    margin's factors; fitting ends after ``rounds`` or when the first margin
+    needs no more change than ``tolerance``.  Null values are a value like any other.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    base = cells
-    for name in margins:
-        base = base.withColumn(f"_{name}", F.coalesce(F.col(name), F.lit("\u0000null")))
-    base = cut(base.withColumn("raked", F.col("tokens") / F.lit(float(total))))
-    want = {name: cut(t.select(F.coalesce(F.col(name), F.lit("\u0000null")).alias(f"_{name}"), "target")) for name, t in margins.items()}
+    keys = {name: F.coalesce(F.col(name), F.lit("\u0000null")) for name in margins}
+    base = cut(cells.select("*", (F.col("tokens") / F.lit(float(total))).alias("_share"), *[k.alias(f"_{name}") for name, k in keys.items()]))
+    want = {name: cut(t.select(keys[name].alias(f"_{name}"), "target")) for name, t in margins.items()}
     few = {name: t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS for name, t in want.items()}  # a margin's values stay the same
     hint = lambda name, df: F.broadcast(df) if few[name] else df
+    factors = {name: t.select(f"_{name}", F.lit(1.0).alias(f"_by_{name}")) for name, t in want.items()}
+
+    def shares() -> DataFrame:
+        rows = base
+        for name, factor in factors.items():
+            rows = rows.join(hint(name, factor), f"_{name}")
+        return rows.withColumn("raked", reduce(lambda a, b: a * b, [F.col(f"_by_{name}") for name in factors], F.col("_share")))
+
     for _ in range(rounds):
+        changed = None
         for name in margins:
-            sums = base.groupBy(f"_{name}").agg(F.sum("raked").alias("now")).join(hint(name, want[name]), f"_{name}")
-            factor = sums.select(f"_{name}", F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor"))
-            base = base.join(hint(name, factor), f"_{name}").withColumn("raked", F.col("raked") * F.col("factor")).drop("factor")
-        base = cut(base)
-    return base.drop(*[f"_{name}" for name in margins])
+            sums = shares().groupBy(f"_{name}").agg(F.sum("raked").alias("now"))
+            step = sums.join(hint(name, want[name]), f"_{name}").join(hint(name, factors[name]), f"_{name}")
+            ratio = F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0)
+            fresh = cut(step.select(f"_{name}", (F.col(f"_by_{name}") * ratio).alias(f"_by_{name}"), F.abs(ratio - 1).alias("change")))
+            changed = fresh.agg(F.max("change")).first()[0] if changed is None else changed
+            factors[name] = fresh.drop("change")
+        if (changed or 0.0) <= tolerance:
+            break
+    return cut(shares().select(*cells.columns, "raked"))
 
 
 def calibrate(cells: DataFrame, tokens: float) -> DataFrame:
@@ -90,14 +104,14 @@ def calibrate(cells: DataFrame, tokens: float) -> DataFrame:
     whole = cells.agg(F.sum("tokens").alias("n"), F.min(F.when(F.col("ratio") > 0, F.col("ratio"))).alias("low")).first()
     if not whole.n or not whole.low or tokens >= whole.n:
         return cells.withColumn("probability", F.lit(1.0)).drop("ratio")
-    # 20 trial scales a pass over the cells narrow the scale by a factor of 21.
+    # A pass over the cells tries TRIES scales at once and keeps the gap in which the wanted one lies.
     low, high = 0.0, 1.0 / whole.low
-    for _ in range(12):
-        tries = [low + (high - low) * k / 21 for k in range(1, 21)]
-        sums = cells.agg(*[F.sum(F.least(F.col("ratio") * t, F.lit(1.0)) * F.col("tokens")).alias(f"t{k}") for k, t in enumerate(tries)]).first()
-        under = [t for k, t in enumerate(tries) if sums[k] < tokens]
-        over = [t for k, t in enumerate(tries) if sums[k] >= tokens]
-        low, high = max([low, *under]), min([high, *over])
+    for _ in range(SEARCH):
+        tries = [low + (high - low) * k / (TRIES + 1) for k in range(1, TRIES + 1)]
+        each = cells.select("ratio", "tokens", F.posexplode(F.lit(tries)).alias("k", "scale"))
+        sums = each.groupBy("k").agg(F.sum(F.least(F.col("ratio") * F.col("scale"), F.lit(1.0)) * F.col("tokens")).alias("n")).collect()
+        low = max([low, *[tries[r.k] for r in sums if r.n < tokens]])
+        high = min([high, *[tries[r.k] for r in sums if r.n >= tokens]])
     return cells.withColumn("probability", F.least(F.col("ratio") * high, F.lit(1.0))).drop("ratio")
 
 

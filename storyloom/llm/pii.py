@@ -125,7 +125,8 @@ def disclosing(docs: DataFrame, terms: DataFrame, total: int, disclosure: float
     entities = cut(terms.groupBy("kind", "value").agg(F.count_distinct("row").alias("entity")))
     wanted = small(cut(pairs.select("term").distinct()))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of()), r"\P{L}+"))).alias("term"))
-    spread = words.join(wanted, "term").groupBy("term").agg(F.count("*").alias("spread"))
+    # Counted before the join, which then meets each term once.
+    spread = words.filter(F.char_length("term") >= 4).groupBy("term").agg(F.count("*").alias("spread")).join(wanted, "term", "left_semi")
     rows = pairs.join(small(cut(spread)), "term").join(small(entities), ["kind", "value"])
     n = F.greatest(F.lit(float(total)), F.col("spread"), F.col("entity"))
     pmi = F.log2(n * F.col("both") / (F.col("spread") * F.col("entity")))

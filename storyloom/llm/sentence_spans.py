@@ -13,6 +13,7 @@ from .common import cut, key_join, small, text_of
 
 SPAN = 3  # consecutive sentences of a run
 DOC = ["doc_id", "text_hash"]
+RANGES = "array<struct<pos:int,last:int>>"
 
 
 def sentences(text: Column) -> Column:
@@ -60,6 +61,14 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return both.filter(~here.eqNullSafe(F.col("first"))).select(*DOC, "pos", "last")
 
 
+def _grow(ranges: Column, run: Column) -> Column:
+    """Sorted ranges of sentences and one more run; what touches becomes one."""
+    end = F.try_element_at(ranges, F.lit(-1))
+    longer = F.struct(end["pos"].alias("pos"), F.greatest(end["last"], run["last"]).alias("last"))
+    met = F.coalesce(run["pos"] <= end["last"] + 1, F.lit(False))
+    return F.when(met, F.concat(F.slice(ranges, F.lit(1), F.size(ranges) - 1), F.array(longer))).otherwise(F.array_append(ranges, run))
+
+
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """``docs`` with n_sentences, n_removed and ``text`` without the sentences covered by a repeated, non-first run.
 
@@ -72,13 +81,13 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     gone = (
         repeated_spans(docs.select("doc_id", "text"), span)
         .groupBy(*DOC)  # a document's own runs
-        .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", "last")))).alias("_gone"))
+        .agg(F.sort_array(F.collect_set(F.struct("pos", "last"))).alias("runs"))
+        .select(*DOC, F.aggregate("runs", F.array().cast(RANGES), _grow).alias("_gone"))
     )
     rows = docs.withColumns({"_id": F.col("doc_id"), "_hash": F.xxhash64(text_of())})
-    joined = key_join(rows, small(cut(gone), cells=F.size("_gone")).toDF("_id", "_hash", "_gone"), ["_id", "_hash"], "left")
+    joined = key_join(rows, small(cut(gone), cells=F.size("_gone") * 2).toDF("_id", "_hash", "_gone"), ["_id", "_hash"], "left")
     joined = joined.withColumn("_parts", sentences(text_of()))
-    lost = F.coalesce("_gone", F.array().cast("array<int>"))
-    flags = F.transform("_parts", lambda s, i: F.struct(s.alias("s"), F.array_contains(lost, i).alias("lost")))
+    flags = F.transform("_parts", lambda s, i: F.struct(s.alias("s"), F.exists("_gone", lambda r: (r["pos"] <= i) & (r["last"] >= i)).alias("lost")))
     joined = joined.withColumn("_flags", F.when(F.col("_gone").isNull(), F.transform("_parts", lambda s: F.struct(s.alias("s"), F.lit(False).alias("lost")))).otherwise(flags))
     kept = F.array_join(F.transform(F.filter("_flags", lambda f: ~f["lost"]), lambda f: f["s"]), "")
     return joined.withColumns(

@@ -15,7 +15,8 @@ A byte goes if it lies in a string of LENGTH bytes that also starts elsewhere.
    many documents costs its number of runs.
 3. Anchors of repeated suffixes are compared on their surroundings (all strings
    of LENGTH bytes to which they belong).  Surroundings that occur twice repeat as
-   a whole; for the others each string is hashed and counted.
+   a whole; for the others each string is hashed and counted, for many suffixes
+   in one task, for a suffix of very many surroundings over the cluster.
 """
 
 from __future__ import annotations
@@ -39,7 +40,10 @@ KGRAM = 16
 RUN = 400_000  # suffixes of a sorted run
 PART = 24_000_000  # bytes of text for each range of the merge
 SAMPLE_DOCS = 400  # documents from which the splitters come; only the evenness of the ranges depends on them
-PIECE = 4_000_000  # bytes looked at together
+PIECE = 2_000_000  # bytes looked at together
+SLICE = 4_000  # anchors whose surroundings are held at once
+LOT = 10_000  # surroundings compared in one task, about
+LARGE = 20_000  # different surroundings of one suffix from which on its strings are counted over the cluster
 BEFORE = WINDOW - 1  # bytes of surroundings before an anchor; LENGTH after it
 _RNG = np.random.default_rng(20_021)
 BYTE = _RNG.integers(0, 2**64, 257, dtype=np.uint64)  # 256: beyond the text
@@ -276,35 +280,71 @@ def repeated_heads(docs: DataFrame, total: int) -> DataFrame:
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "text_hash", "head", "around", "place", "least", "most"]
     for rows, buf, bounds in chunks(batches, 2):
-        p, lo, hi = anchors(buf, bounds)
-        if not len(p):
-            continue
-        doc = np.searchsorted(bounds, p, side="right") - 1
-        around = surroundings(buf, p, bounds[doc], bounds[doc + 1])
-        code = mix((around.astype(np.uint64) + np.uint64(1)) @ AROUND).astype(np.int64)
-        take = pa.array(doc)
+        every = anchors(buf, bounds)
+        for a in range(0, len(every[0]), SLICE):
+            p, lo, hi = (x[a : a + SLICE] for x in every)
+            doc = np.searchsorted(bounds, p, side="right") - 1
+            around = surroundings(buf, p, bounds[doc], bounds[doc + 1]).astype(np.uint64)
+            around += np.uint64(1)
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(0).take(take), rows.column(1).take(take), pa.array(head_hash(heads(buf, p))), pa.array(mix(around @ AROUND).astype(np.int64)),
+                 pa.array(p - bounds[doc]), pa.array((p - hi).astype(np.int16)), pa.array((p - lo).astype(np.int16))], names)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The asked anchors with their surroundings: bytes, and how many of them come before the anchor."""
+    names = ["head", "around", "single", "large", "least", "most"]
+    for batch in batches:
+        texts, asked = batch.column(0), batch.column(1)
+        each = asked.flatten()
+        doc = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
+        place = each.field("place").to_numpy(zero_copy_only=False)
+        pieces, before, last, data = [], [], -1, b""
+        for d, p in zip(doc, place, strict=True):
+            if d != last:
+                last, data = d, texts[int(d)].as_py()
+            before.append(min(BEFORE, p))
+            pieces.append(data[p - before[-1] : p + LENGTH])
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0).take(take), rows.column(1).take(take), pa.array(head_hash(heads(buf, p))), pa.array(code),
-             pa.array(p - bounds[doc]), pa.array((p - hi).astype(np.int16)), pa.array((p - lo).astype(np.int16))], names)
+            [*[each.field(n) for n in names], pa.array(before, pa.int16()), pa.array(pieces, pa.binary())], [*names, "before", "bytes"])
+
+
+def _hashed(least, most, before, pieces) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, held) [surroundings, BEFORE + 1] of the strings that belong to each anchor, by how far they start before it."""
+    around = np.full((len(pieces), BEFORE + LENGTH), 256, dtype=np.int16)
+    for k, (b, piece) in enumerate(zip(before, pieces, strict=True)):
+        around[k, BEFORE - b : BEFORE - b + len(piece)] = np.frombuffer(piece, np.uint8)
+    columns = np.arange(BEFORE + 1)
+    return string_hashes(around), (columns >= np.asarray(least)[:, None]) & (columns <= np.asarray(most)[:, None])
+
+
+def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
+    """(head, around, before): for single surroundings, how far before the anchor its repeated strings start."""
+    keys, held = [], []
+    for a in range(0, len(rows), SLICE):
+        part = rows.iloc[a : a + SLICE]
+        hashes, mine = _hashed(part["least"], part["most"], part["before"], part["bytes"])
+        held.append(mine)
+        keys.append(mix(hashes ^ mix(part["head"].to_numpy().astype(np.uint64))[:, None])[mine])
+    held = np.concatenate(held)
+    _, at, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    again = np.zeros(held.shape, dtype=bool)
+    again[held] = counts[at] > 1
+    chosen = np.nonzero(rows["single"].to_numpy(dtype=bool) & again.any(1))[0]
+    return pd.DataFrame({"head": rows["head"].to_numpy()[chosen], "around": rows["around"].to_numpy()[chosen], "before": [np.nonzero(again[k])[0].astype(np.int32) for k in chosen]})
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(head, around, single, least, hashes) of asked anchors: columns data and asked (head, around, single, place, least, most)."""
-    for rows, buf, bounds in chunks(batches, 0):
-        asked = rows.column(1)
-        each = asked.flatten() if isinstance(asked, pa.ListArray) else asked
-        doc = np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
-        get = lambda name: each.field(name).to_numpy(zero_copy_only=False)  # noqa: B023,E731
-        for a in range(0, len(doc), 4_000):
-            part = slice(a, a + 4_000)
-            place, least, most = get("place")[part] + bounds[doc[part]], get("least")[part].astype(int), get("most")[part].astype(int)
-            hashes = string_hashes(surroundings(buf, place, bounds[doc[part]], bounds[doc[part] + 1])).astype(np.int64)
-            columns = np.arange(hashes.shape[1])
-            held = (columns >= least[:, None]) & (columns <= most[:, None])
+    """(head, around, single, least, hashes) of surroundings; columns as those of ``_contexts``."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            part = batch.slice(a, SLICE)
+            least, most, before = (part.column(k).to_numpy().astype(int) for k in (4, 5, 6))
+            hashes, held = _hashed(least, most, before, part.column(7).to_pylist())
             offsets = np.concatenate([[0], np.cumsum(held.sum(1))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [each.field("head").slice(a, len(place)), each.field("around").slice(a, len(place)), each.field("single").slice(a, len(place)),
-                 pa.array(least.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[held]))],
+                [*[part.column(k) for k in (0, 1, 2)], pa.array(least.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes.astype(np.int64)[held]))],
                 ["head", "around", "single", "least", "hashes"])
 
 
@@ -314,20 +354,26 @@ def spans_of(docs: DataFrame, total: int) -> DataFrame:
     repeated = repeated_heads(docs, total)
     schema = f"doc_id {kind}, text_hash long, head long, around long, place long, least smallint, most smallint"
     found = docs.select(*KEY, "data").mapInArrow(_anchored, schema)
-    found = cut(found.join(small(repeated), "head", "left_semi"))
+    found = cut(found.join(repeated, "head", "left_semi"))
 
     rep = F.min(F.struct("doc_id", "text_hash", "place", "least", "most")).alias("rep")
     kinds = cut(found.groupBy("head", "around").agg(F.count("*").alias("times"), rep))
     mixed = kinds.groupBy("head").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("singles")).filter("kinds > 1 AND singles > 0")
-    asked = kinds.join(small(cut(mixed.select("head"))), "head", "left_semi")
-    one = F.struct("head", "around", (F.col("times") == 1).alias("single"), "rep.place", "rep.least", "rep.most")
-    per_doc = cut(asked.groupBy("rep.doc_id", "rep.text_hash").agg(F.collect_list(one).alias("asked")))  # a document's own anchors
-    texts = key_join(docs.select(*KEY, "data"), small(per_doc, 400_000), KEY).select("data", "asked")
-    strings = cut(texts.mapInArrow(_strings, "head long, around long, single boolean, least int, hashes array<long>"))
+    asked = kinds.join(cut(mixed.select("head", (F.col("kinds") > LARGE).alias("large"))), "head")
+    one = F.struct("head", "around", (F.col("times") == 1).alias("single"), "large", "rep.place", "rep.least", "rep.most")
+    per_doc = cut(asked.groupBy("rep.doc_id", "rep.text_hash").agg(F.sort_array(F.collect_list(one)).alias("asked")))  # a document's own anchors
+    texts = key_join(docs.select(*KEY, "data"), per_doc, KEY).select("data", "asked")
+    schema = "head long, around long, single boolean, large boolean, least smallint, most smallint, before smallint, bytes binary"
+    contexts = cut(texts.mapInArrow(_contexts, schema))
+    lots = max(1, -(-contexts.count() // LOT))
+    usual = contexts.filter("NOT large").withColumn("lot", F.pmod(F.xxhash64("head"), F.lit(lots)))
+    before = usual.repartition(lots, "lot").groupBy("lot").applyInPandas(lambda rows: _repeated(rows), "head long, around long, before array<int>")
+
+    strings = contexts.filter("large").mapInArrow(_strings, "head long, around long, single boolean, least int, hashes array<long>")
     each = strings.select("head", "around", "single", "least", F.posexplode("hashes").alias("i", "hash"))
     again = each.groupBy("head", "hash").agg(F.count("*").alias("n"), F.max("single").alias("asked")).filter("n > 1 AND asked").select("head", "hash")
-    hits = each.filter("single").join(small(cut(again), 1_000_000), ["head", "hash"], "left_semi")
-    before = hits.groupBy("head", "around").agg(F.sort_array(F.collect_list(F.col("least") + F.col("i"))).alias("before"))
+    hits = each.filter("single").join(cut(again), ["head", "hash"], "left_semi")
+    before = before.unionByName(hits.groupBy("head", "around").agg(F.sort_array(F.collect_list(F.col("least") + F.col("i"))).alias("before")))
 
     # Starts of repeated strings, as runs of how far they lie before the anchor.
     run_first = F.filter("before", lambda o: ~F.array_contains("before", o - 1))
@@ -336,7 +382,7 @@ def spans_of(docs: DataFrame, total: int) -> DataFrame:
     facts = cut(facts.filter("times > 1 OR near is not null"))
     span = lambda far, near: F.struct((F.col("place") - far).cast("long").alias("start"), (F.col("place") - near + LENGTH).cast("long").alias("stop"))
     spans = F.when(F.col("times") > 1, F.array(span(F.col("most"), F.col("least")))).otherwise(F.zip_with("far", "near", span))
-    rows = found.join(small(facts), ["head", "around"]).select(*KEY, F.explode(spans).alias("s"))
+    rows = found.join(facts, ["head", "around"]).select(*KEY, F.explode(spans).alias("s"))
     joined = rows.groupBy(*KEY).agg(F.sort_array(F.collect_set("s")).alias("s"))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
 
@@ -359,7 +405,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     data = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().cast("binary").alias("data"))
     total = data.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first().n
-    out = key_join(data, small(spans_of(data, total), 400_000), KEY, "left")
+    out = key_join(data, small(spans_of(data, total), cells=F.size("spans") * 4), KEY, "left")
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     out = out.withColumn("spans", F.coalesce("spans", none))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("kept"))

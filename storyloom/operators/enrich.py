@@ -267,6 +267,7 @@ def fallback_outputs(signals: DataFrame, context: DataFrame, extracted: DataFram
     )
     source = F.col("lead_source")
     said = F.transform(F.slice(claims, 1, 3), lambda c: _point(with_terminal(c), source))
+    # The wording of hint, first point, terms point and brief.
     hint = F.when(has_cjk("line"), clip("line", 96)).otherwise(F.concat(F.lit("来源摘要提到："), clip("line", 82)))
     first = _point(F.concat("lead_name", F.lit(" 报道了"), clip("subject", 70), F.lit("。")), source)
     points = F.concat(
@@ -393,6 +394,7 @@ def validate_outputs(rows: DataFrame, facts: DataFrame) -> DataFrame:
     known = F.coalesce("source_ids", F.array().cast("array<string>"))
     long_item = lambda c: (word_count(c) > 45) | (visible_length(c) > 100)
     points, timeline = F.col("key_points"), F.col("timeline")
+    # The messages.
     checks = [
         (~has_cjk("ai_brief"), "User-facing enrichment text must use Simplified Chinese"),
         (cjk_count("ai_brief") < 100, "AI brief is too short"),
@@ -446,6 +448,7 @@ def repair_outputs(rows: DataFrame, fallback: DataFrame, signals: DataFrame) ->
     opening = F.coalesce(seed, F.concat(title, F.lit(SEED_MISSING)))
     told = strip_terminal(F.try_element_at(F.filter(F.transform("key_points", lambda p: p["text"]), lambda p: strip_terminal(p) != ""), F.lit(1)))
     watch = strip_terminal("next_watch")
+    # The wording between the parts.
     rebuilt = F.concat(
         opening,
         F.when((cjk_count(opening) < 20) & ~opening.contains(F.substring(title, 1, 12)), F.concat(F.lit("相关标题是"), title, F.lit("。"))).otherwise(""),
