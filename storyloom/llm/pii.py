@@ -126,7 +126,7 @@ def disclosing(docs: DataFrame, terms: DataFrame, total: int, disclosure: float
     wanted = small(cut(pairs.select("term").distinct()))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of()), r"\P{L}+"))).alias("term"))
     # Counted before the join, which then meets each term once.
-    spread = words.filter(F.char_length("term") >= 4).groupBy("term").agg(F.count("*").alias("spread")).join(wanted, "term", "left_semi")
+    spread = words.filter(F.char_length("term") >= 4).groupBy("term").agg(F.count("*").alias("spread")).join(wanted, "term")
     rows = pairs.join(small(cut(spread)), "term").join(small(entities), ["kind", "value"])
     n = F.greatest(F.lit(float(total)), F.col("spread"), F.col("entity"))
     pmi = F.log2(n * F.col("both") / (F.col("spread") * F.col("entity")))
@@ -179,7 +179,7 @@ def sanitise(docs: DataFrame, generalise: bool = True, disclosure: float = DISCL
     marks = F.sort_array(F.concat(*[F.transform(k, kept(k)) for k in kinds]))
     found_in = spans.select("doc_id", "text_hash", marks.alias("_marks")).filter(F.size("_marks") > 0).dropDuplicates(["doc_id", "text_hash"])
     rows = docs.withColumn("_hash", F.xxhash64(text_of())).withColumn("_id", F.col("doc_id"))
-    joined = key_join(rows, cut(found_in).toDF("_id", "_hash", "_marks"), ["_id", "_hash"], "left")
+    joined = key_join(rows, small(cut(found_in), cells=F.size("_marks") * 3).toDF("_id", "_hash", "_marks"), ["_id", "_hash"], "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
