@@ -37,11 +37,11 @@ LENGTH = 200
 WINDOW = 150
 DEPTH = LENGTH - WINDOW + 1
 KGRAM = 16
-RUN = 400_000  # suffixes of a sorted run
+RUN = 200_000  # suffixes of a sorted run
 PART = 24_000_000  # bytes of text for each range of the merge
 SAMPLE_DOCS = 400  # documents from which the splitters come; only the evenness of the ranges depends on them
-PIECE = 2_000_000  # bytes looked at together
-SLICE = 4_000  # anchors whose surroundings are held at once
+PIECE = 500_000  # bytes looked at together
+SLICE = 2_000  # anchors whose surroundings are held at once
 LOT = 10_000  # surroundings compared in one task, about
 LARGE = 20_000  # different surroundings of one suffix from which on its strings are counted over the cluster
 BEFORE = WINDOW - 1  # bytes of surroundings before an anchor; LENGTH after it
