@@ -21,17 +21,20 @@ DIMS = 1_024  # hash buckets of the scorer
 SAMPLE = 5_000  # documents that fit the scorer (bound); everything else covers all documents
 ROUNDS = 50
 NEUTRAL = 5  # tokens without weight that are added to every text, so a few words don't decide alone
-THRESHOLD = 0.7
+THRESHOLD = 0.5
+# Letters but capitals, and marks; ASCII is told by ranges, so most characters need no look-up of their class.
+SMALL = r"[a-z[[\x{80}-\x{10FFFF}]&&[\p{L}\p{M}]&&[^\p{Lu}]]]+"
 NAMES = ("symbols", "capitals", "bars", "repeats", "variety", "marks", "sentences", "letters", "plain")
 
 
 def shaped(docs: DataFrame) -> DataFrame:
     """Adds ``tokens`` (white-space words) and ``shapes``: A for capitals, a for other letters, 0 for
     digits, other characters as they are, runs as one; ``=`` follows where a word repeats the one before.
-    Beyond ASCII all that is no capital counts as a letter."""
-    text = F.regexp_replace(F.regexp_replace(text_of(), r"\p{Lu}+", "A"), r"[a-z\x{AA}-\x{10FFFF}]+", "a")
+    Letters are those of Unicode, with their marks; symbols beyond ASCII are none."""
+    text = F.regexp_replace(F.regexp_replace(text_of(), r"\p{Lu}+", "A"), SMALL, "a")
     text = F.regexp_replace(F.regexp_replace(text, r"[0-9]+", "0"), r"([^\sAa0])\1+", "$1")
-    rows = docs.withColumns({"tokens": F.array_remove(F.split(text_of(), r"\s+"), ""), "plain": F.array_remove(F.split(text, r"\s+"), "")})
+    blank = r"[\s\x{A0}]+"
+    rows = docs.withColumns({"tokens": F.array_remove(F.split(text_of(), blank), ""), "plain": F.array_remove(F.split(text, blank), "")})
     again = lambda s, i: F.when((i > 0) & (F.get("tokens", i) == F.get("tokens", i - 1)), F.concat(s, F.lit("="))).otherwise(s)
     return rows.withColumn("shapes", F.transform("plain", again)).drop("plain")
 

@@ -29,6 +29,18 @@ def test_quality_rejects_junk_and_keeps_the_rest(spark):
     assert all(got[i] for i in range(120)) and not any(got[i] for i in range(120, 144))
 
 
+def test_quality_rejects_symbols_beyond_ascii(spark):
+    rng = random.Random(6)
+    good = [" ".join(sentence(rng) for _ in range(6)) for _ in range(120)]
+    bad = [" ".join(w + mark for w in sentence(rng, 40).split()) for mark in ("★★★", "→→", "■□■", "😀😀", "©®", "%%%", "$$$") for _ in range(4)]
+    other = ["".join(c + "\u0301" if c in "aeiou" else c for c in g) for g in good[:10]] + [g.translate(str.maketrans("abgdezhiklmnoprstufx", "абгдезхиклмнопрстуфч")) for g in good[:10]]
+    scored = quality.classify(plain(spark, list(enumerate(good + bad + other)))).collect()
+    got = {r.doc_id: r.keep for r in scored}
+    assert not any(got[i] for i in range(120, 148)) and all(got[i] for i in [*range(120), *range(148, 168)])
+    [r] = quality.shaped(plain(spark, [(1, "Été été e\u0301 Ж ж 中文 ªº ★a →→ 😀x 12\u00a0!")])).collect()
+    assert r.shapes == ["Aa", "a", "a", "A", "a", "a", "a", "★a", "→", "😀a", "0", "!"]
+
+
 def test_quality_of_odd_rows(spark):
     got = quality.classify(frame(spark)).collect()
     assert len(got) == len(rows()) and all(r.keep is not None for r in got)
