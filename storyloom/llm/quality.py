@@ -4,7 +4,8 @@ Heuristic labellers vote junk, good or nothing.  Expectation-maximisation over
 the counts of vote patterns estimates how each labeller votes on junk and on
 good documents (its accuracies) and the share of junk; the posterior of each
 pattern labels documents.  A linear scorer over hashed token shapes, fitted to
-those posteriors, gives every document its score.
+those posteriors, gives every document its score.  Shapes say nothing of words:
+looped phrases and abuse are found in the words of each text and score 1.
 """
 
 from __future__ import annotations
@@ -24,6 +25,15 @@ NEUTRAL = 5  # tokens without weight that are added to every text, so a few word
 THRESHOLD = 0.5
 # Letters but capitals, and marks; ASCII is told by ranges, so most characters need no look-up of their class.
 SMALL = r"[a-z[[\x{80}-\x{10FFFF}]&&[\p{L}\p{M}]&&[^\p{Lu}]]]+"
+WINDOW = 1_000  # tokens over which variety is taken; a text's is the mean of its windows
+GRAM, LOOPED = 4, 0.5  # words of a phrase; share of a text's phrases that are different, below which it is looped
+ABUSIVE = 0.005  # share of abuse terms, two of them different, from which on a text is abusive
+ABUSE = (
+    "arschloch asshole asqueroso asquerosa abschaum bastard bastards basura cabrón clown clowns connard connards crétin crétins débile dégoûtant "
+    "disgusting dreckskerl dumbass dummkopf dumm erbärmlich escoria estúpida estúpido estúpidos idiot idiota idiotas idiote idioten idiotes idiots "
+    "imbecile imbeciles imbécil imbécile imbéciles loser losers minable moron morons ordure patética patético pathetic pathétique payaso payasos "
+    "perdedor salaud salauds scum stupid stupide trash trottel versager wertlos widerlich worthless"
+)
 NAMES = ("symbols", "capitals", "bars", "repeats", "variety", "marks", "sentences", "letters", "plain")
 
 
@@ -63,7 +73,7 @@ def with_votes(rows: DataFrame) -> DataFrame:
             "_capitals": share(r" [^a ]*A[^a ]*(?= )"),
             "_bars": share(r" [^Aa0 ]+(?= )"),
             "_repeats": (size - without("= ")) / 2 / n,
-            "_variety": F.size(F.array_distinct("tokens")) / n,
+            "_variety": variety() / n,
             "_marks": share(r"[!?]=? "),
             "_ends": share(r"[.!?]=? "),
             "_letters": (size - without("A", "a", "0")) / F.greatest(size - n, F.lit(1)),
@@ -76,7 +86,7 @@ def with_votes(rows: DataFrame) -> DataFrame:
         vote(F.col("_capitals") > 0.5, never, 5),
         vote(F.col("_bars") > 0.2, never, 5),
         vote(F.col("_repeats") > 0.3, never, 5),
-        F.when(F.size("shapes") > 1_000, "0").otherwise(vote(F.col("_variety") < 0.2, never, 30)),
+        vote(F.col("_variety") < 0.2, never, 30),
         vote(F.col("_marks") > 0.5, never, 5),
         vote((F.col("_ends") > 0.6) | (F.col("_ends") < 0.005), never, 30),
         vote(F.col("_letters") < 0.72, never, 5),
@@ -85,6 +95,26 @@ def with_votes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("votes", F.concat(*each)).drop("line", *[f"_{name}" for name in NAMES if name != "sentences"], "_ends")
 
 
+def variety() -> Column:
+    """Different ``tokens`` of each WINDOW, added up, so long texts don't look poor in words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("tokens"), F.lit(1)), F.lit(WINDOW))
+    return F.aggregate(starts, F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice("tokens", i, WINDOW))))
+
+
+def looped() -> Column:
+    """Whether most phrases of GRAM ``tokens`` stand in the text before; texts under 30 tokens are not judged."""
+    n = F.greatest(F.size("tokens") - GRAM + 1, F.lit(0))
+    grams = F.transform(F.slice("tokens", F.lit(1), n), lambda t, i: F.xxhash64(t, *[F.get("tokens", i + k) for k in range(1, GRAM)]))
+    return F.when(F.size("tokens") < 30, False).otherwise(F.size(F.array_distinct(grams)) < n * LOOPED)
+
+
+def abusive() -> Column:
+    """Whether ABUSE terms, at least two different ones, reach their share of the ``tokens``."""
+    whole = rf"(?<![\p{{L}}\p{{M}}])(?:{'|'.join(ABUSE.split())})(?![\p{{L}}\p{{M}}])"
+    terms = F.regexp_extract_all(F.lower(text_of()), F.lit(whole), F.lit(0))
+    return (F.size(F.array_distinct(terms)) > 1) & (F.size(terms) >= F.size("tokens") * ABUSIVE)
+
+
 def _stripped(text: Column, what) -> Column:
     return reduce(lambda t, x: F.replace(t, F.lit(x), F.lit("")), what, text)
 
@@ -144,6 +174,7 @@ def weak_labels(docs: DataFrame) -> tuple[DataFrame, dict[str, float], float]:
 def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with n_words, score (of junk) and keep.
 
+    Looped and abusive texts score 1, the others what the scorer says.
     All rows come back, repeated ones each for itself.  A null or empty text has
     no words, gets no votes and the prior as score; it is kept unless junk is the
     rule.  Equal texts get equal scores.  An empty table gives no rows.
@@ -174,7 +205,7 @@ def classify(docs: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE
     total = F.aggregate("shapes", F.lit(0.0), lambda a, s: a + F.element_at(learned, bucket(s) + 1))
     n = F.size("shapes")
     z = total / (n + NEUTRAL) + F.lit(bias)
-    out = shaped(docs).withColumns({"n_words": n.cast("long"), "score": F.round(1 / (1 + F.exp(-z)), 6)})
+    out = shaped(docs).withColumns({"n_words": n.cast("long"), "score": F.when(looped() | abusive(), 1.0).otherwise(F.round(1 / (1 + F.exp(-z)), 6))})
     return out.withColumn("keep", F.col("score") < threshold).drop("tokens", "shapes")
 
 

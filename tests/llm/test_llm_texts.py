@@ -41,6 +41,18 @@ def test_quality_rejects_symbols_beyond_ascii(spark):
     assert r.shapes == ["Aa", "a", "a", "A", "a", "a", "a", "★a", "→", "😀a", "0", "!"]
 
 
+def test_quality_rejects_loops_and_abuse_at_any_length(spark):
+    rng = random.Random(7)
+    good = [" ".join(sentence(rng) for _ in range(6)) for _ in range(100)] + [" ".join(sentence(rng) for _ in range(k)) for k in (200, 900)]
+    good += [g + " The trash is out, and the trash is in." for g in good[:3]]
+    bad = [" ".join(sentence(rng, 6).split() * k) for k in (10, 60, 1_000)]
+    bad += [" ".join(w + (" Idiot," if i % 40 == 5 else " you moron!" if i % 40 == 25 else "") for i, w in enumerate(g.split())) for g in (good[0], good[101])]
+    got = {r.doc_id: r.keep for r in quality.classify(plain(spark, list(enumerate(good + bad)))).collect()}
+    assert [i for i in range(105) if not got[i]] == [] and [i for i in range(105, 110) if got[i]] == []
+    poor = spark.createDataFrame([(k, " ".join(rng.choice("abcdefghij") for _ in range(k))) for k in (500, 5_000)], "doc_id long, text string")
+    assert {r.votes[quality.NAMES.index("variety")] for r in quality.with_votes(quality.shaped(poor)).collect()} == {"2"}
+
+
 def test_quality_of_odd_rows(spark):
     got = quality.classify(frame(spark)).collect()
     assert len(got) == len(rows()) and all(r.keep is not None for r in got)
