@@ -168,3 +168,98 @@ def _suffix_dedup(spark, sf_dir):
 
     rows = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op11_lexical_search",
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    size AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+    tf AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY doc_id, term, n),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM df, size),
+    scored AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+      FROM i JOIN tf USING (term) JOIN weight USING (term), size GROUP BY item_id, doc_id),
+    ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
+)
+def _lexical_search(spark, sf_dir):
+    from .lexical import search
+
+    return search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=10)
+
+
+def looped(docs):
+    """The contract's texts: in a tenth of the documents a stretch of words is repeated to the end."""
+    w = F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", F.size(w).cast("long").alias("n"), h.alias("h"), F.floor(h / 10).alias("g"))
+    rows = rows.select("doc_id", "text", "n", "h", "g", F.when(F.col("n") > 0, F.col("g") % F.col("n")).alias("a"))
+    rows = rows.withColumn("p", F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    n, a, p = (F.col(c).cast("int") for c in ("n", "a", "p"))
+    tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    text = F.array_join(F.concat(F.slice(w, F.lit(1), a), F.slice(tail, F.lit(1), n - a)), " ")
+    return rows.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), text).otherwise(F.col("text")).alias("text"))
+
+
+# crc32 of the decimal doc_id, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+@query(
+    "op12_periodic_runs",
+    f"""
+    WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w, CAST({_CRC} AS BIGINT) AS h FROM documents),
+    s AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+    l AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+        THEN list_transform(generate_series(0, n - 1), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM s),
+    spot AS (SELECT doc_id, n, unnest(w) AS word, unnest(generate_series(0, n - 1)) AS i FROM l WHERE n > 0),
+    pair AS (SELECT x.doc_id, x.i, x.i - y.i AS lag FROM spot x JOIN spot y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i < x.i AND (x.i - y.i) * 4 <= x.n),
+    island AS (SELECT doc_id, lag, count(*) AS m, max(i) AS stop FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS k FROM pair) GROUP BY doc_id, lag, k),
+    long_ AS (SELECT doc_id, stop - m - lag + 1 AS start, m + lag AS length, lag AS period FROM island WHERE m + lag >= greatest(6, 4 * lag)),
+    run AS (SELECT * FROM long_ r WHERE NOT EXISTS (SELECT 1 FROM long_ q WHERE q.doc_id = r.doc_id AND q.period < r.period AND q.start <= r.start AND q.start + q.length >= r.start + r.length)),
+    listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+      first({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period) AS best FROM run GROUP BY doc_id),
+    lost AS (SELECT DISTINCT doc_id, unnest(generate_series(start + period, start + length - 1)) AS i FROM run),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM spot ANTI JOIN lost USING (doc_id, i) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+      sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+)
+def _periodic_runs(spark, sf_dir):
+    from .periodic import periodic_runs
+
+    rows = periodic_runs(looped(load(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("r"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, period = -F.col("r.start"), -F.col("r.period")
+    return rows.select(
+        "doc_id", "n_runs", start.alias("start"), F.col("r.length").alias("length"), period.alias("period"),
+        F.floor(1000 * F.col("r.length") / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+_ESCAPED = r"""regexp_replace({}, '([\[<])(\\*)(/?INST\]|ROLE\]|/?TEXT\]|/?s>)', '\1\\\2\3', 'g')"""
+
+
+@query(
+    "op13_chat_format",
+    f"""
+    WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+      CAST(sum(length({_ESCAPED.format("text")}) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length({_ESCAPED.format("role")}) END) AS BIGINT) AS formatted_chars
+    FROM rows GROUP BY conv_id""",
+)
+def _chat_format(spark, sf_dir):
+    from .chat import as_events, digests, fold, render
+
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    given = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema)
+    return digests(render(fold(as_events(rows.unionByName(given)))))
