@@ -283,7 +283,7 @@ def cluster_edges(t):
 
 def _stories(t):
     graded, pairs, relations = _cluster_inputs(t)
-    members = cut(cluster.assign_clusters(graded, cluster.cluster_edges(graded, relations, pairs)))
+    members = cut(cluster.assign_clusters(graded, relations, pairs))
     return graded, relations, members
 
 
@@ -332,6 +332,17 @@ def match_signals(t):
     return m.select("signal_id", "lead_article_id", "is_new", "title", F.col("primary_published_at").cast("timestamp_ntz").alias("primary_published_at"))
 
 
+@query(
+    "touch_signals",
+    KNOWN,
+    f"""{ALL} {WALK} {LEADS} {MATCH} SELECT signal_id, CASE WHEN EXISTS (SELECT 1 FROM matched m WHERE m.signal_id = s.signal_id AND NOT is_new) THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at
+    FROM signals_fx s""",
+)
+def touch_signals(t):
+    touched = cluster.touch_signals(t.signals_fx, _matched(t)[3], NOW)
+    return touched.select("signal_id", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+
+
 @query(
     "replace_members",
     KNOWN,

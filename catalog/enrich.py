@@ -26,6 +26,16 @@ def enrichment_context(t):
     return c.select("signal_id", "article_id", "role", "source_name", "source_role", "excerpt", F.sha2("text_for_ai", 256).alias("text_hash"))
 
 
+@query(
+    "member_mix",
+    BASE,
+    f", {CTX} SELECT c.signal_id, c.article_id, c.source_id, source_name, s.source_type, c.family, c.role, a.canonical_url AS url, c.title, c.published_at FROM ctx c JOIN articles a USING (article_id) JOIN sources s ON s.source_id = c.source_id",
+)
+def member_mix(t):
+    mix = enrich.member_mix(enrich.enrichment_context(t.signals_fx, t.links_fx, t.articles, t.sources))
+    return mix.drop("place").withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+
 @query("pending_enrichment", BASE, " SELECT signal_id FROM signals_fx WHERE enrichment_status = 'pending'")
 def pending_enrichment(t):
     return enrich.pending_enrichment(t.signals_fx).select("signal_id")
@@ -35,10 +45,12 @@ def pending_enrichment(t):
     "pending_with_retry",
     BASE,
     """ SELECT signal_id FROM signals_fx WHERE (enrichment_status IN ('pending', 'fallback') OR (enrichment_status = 'failed' AND fallback_generated AND error_category = 'enrichment_validation_failed'))
-    AND number % 4 <> 1""",
+    AND signal_id IN (SELECT signal_id FROM links_fx l JOIN articles a ON a.article_id = l.article_id WHERE a.published_at > TIMESTAMP '2024-01-20 00:00:00')""",
 )
 def pending_with_retry(t):
-    ids = t.signals_fx.filter("number % 4 <> 1").select("signal_id")
+    """Waiting signals among those with an article published after a cursor."""
+    new = t.articles.filter("published_at > TIMESTAMP_NTZ '2024-01-20 00:00:00'").select("article_id")
+    ids = t.links_fx.join(new, "article_id", "left_semi").select("signal_id").distinct()
     return enrich.pending_enrichment(t.signals_fx, True, ids).select("signal_id")
 
 
@@ -255,6 +267,32 @@ def apply_enrichment(t):
     return enrich.apply_enrichment(t.signals_fx, results, "table").select("signal_id", "enrichment_status", "enrichment_error", "enrichment_version")
 
 
+@query(
+    "enrichment_bookkeeping",
+    BASE,
+    f""", {CTX}, counted AS (SELECT signal_id, count(*) AS n FROM ctx GROUP BY signal_id)
+    SELECT signal_id, CASE WHEN NOT failed THEN TIMESTAMP '2024-02-01 10:00:00' END AS generated_at, CASE WHEN failed THEN TIMESTAMP '2024-02-01 10:00:00' END AS failed_at,
+      CASE WHEN NOT failed THEN CAST(coalesce(n, 0) AS INT) END AS source_count, TIMESTAMP '2024-02-01 10:00:00' AS updated_at
+    FROM (SELECT s.*, number % 6 = 5 AS failed FROM signals_fx s WHERE enrichment_status = 'pending') p LEFT JOIN counted USING (signal_id)
+    UNION ALL SELECT signal_id, NULL, NULL, NULL, updated_at FROM signals_fx WHERE enrichment_status <> 'pending'""",
+)
+def enrichment_bookkeeping(t):
+    """When and from how many members texts were made; signals that were not asked keep their dates."""
+    from storyloom.operators.lineage import cut
+
+    pending = enrich.pending_enrichment(t.signals_fx)
+    context = enrich.enrichment_context(pending, t.links_fx, t.articles, t.sources)
+    fallback = cut(enrich.fallback_outputs(pending, context, enrich.extract_terms_claims(pending, t.links_fx, t.articles)))
+    checked = enrich.validate_outputs(enrich.repair_outputs(enrich.parse_outputs(_answers(t)), fallback, pending), fallback)
+    results = enrich.enrichment_results(pending, fallback, checked, "table")
+    out = enrich.apply_enrichment(t.signals_fx, results, "table", "2024-02-01 10:00:00", enrich.member_counts(context))
+    at = lambda c, name: F.col(c).cast("timestamp_ntz").alias(name)
+    return out.select(
+        "signal_id", at("enrichment_generated_at", "generated_at"), at("enrichment_failed_at", "failed_at"),
+        F.col("enrichment_source_count").alias("source_count"), at("updated_at", "updated_at"),
+    )
+
+
 STALE = """flagged AS (SELECT *, CASE number % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 ELSE 0 END AS n_points,
     concat_ws(' ', nullif(summary, ''), nullif(ai_brief, ''), CASE WHEN number % 4 = 0 THEN '提供了该信号的基础来源信息' END) AS txt FROM signals_fx),
   staled AS (SELECT *, enrichment_status NOT IN ('pending', 'processing') AND (enrichment_version < 2 OR contains(txt, '基础来源信息') OR contains(txt, 'AI 精炼暂不可用') OR contains(txt, '提供了与该信号相关')

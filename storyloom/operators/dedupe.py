@@ -15,6 +15,9 @@ aggregates, so a group of copies costs its size, not its square.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from ..functions.numbers import round3
 from ..functions.text import title_key, title_tokens
 from ..functions.times import hours_between, millis, order_key, ts_lit
 from ..functions.urls import has_specific_path, normalize_url
+from .components import connected_components
 from .lineage import cut
 from .simjoin import similarity, title_similarity_join
 from .skew import hot_keys, salted_lookup
@@ -36,6 +40,9 @@ EXACT_CONFIDENCE = 0.98
 HEAT_SHARE, CREDIBILITY_SHARE = 0.2, 0.12
 HALF_UNIT = 0.0005
 
+# Rounds over the cluster before the chains that are left are walked.
+PARALLEL = 2
+
 _WINDOW_MS = WINDOW_HOURS * 3600 * 1000
 _HOUR_MS = 3600 * 1000
 _UNDATED = "u"
@@ -298,9 +305,10 @@ def _group_state(memberships: DataFrame, state: DataFrame) -> DataFrame:
 def solve_slots(slots: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(state, look-ups, memberships): status L (lead) or D (duplicate) for every slot.
 
-    Each round decides every slot whose earlier neighbours allow it; the first
-    undecided slot always is decided, so the loop ends.  A round works on the
-    open look-ups and their groups only.  ``slots`` is a written table.
+    PARALLEL rounds decide every slot whose earlier neighbours allow it, whatever
+    the size of its groups; what then is open are chains, in which one decision
+    waits for the other, and those are walked in slot order, component by
+    component.  ``slots`` is a written table.
     """
     memberships = cut(_memberships(slots))
     reads, hot = _useful(_look_ups(slots, pairs), memberships, slots.count())
@@ -311,15 +319,79 @@ def solve_slots(slots: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFram
         .join(readers.withColumn("reads", F.lit(True)), "slot", "left")
         .select("slot", F.when(F.col("reads"), "U").otherwise("L").alias("status"))
     )
-    # Groups nobody looks up play no part in the rounds.
+    # Groups nobody looks up play no part.
     open_reads = reads
-    while not open_reads.isEmpty():
+    for _ in range(PARALLEL):
+        if open_reads.isEmpty():
+            return state, reads, memberships
         asked = memberships.join(open_reads.select("gkey").distinct(), "gkey", "left_semi")
         state = cut(_round(state, open_reads, asked, hot))
         open_reads = cut(open_reads.join(state.filter("status = 'U'").select("slot"), "slot", "left_semi"))
+    if not open_reads.isEmpty():
+        walked = _walk_chains(state, open_reads, memberships, hot)
+        state = cut(state.join(walked, "slot", "left").select("slot", F.coalesce("walked", "status").alias("status")))
     return state, reads, memberships
 
 
+def _walk_chains(state: DataFrame, open_reads: DataFrame, memberships: DataFrame, hot: DataFrame) -> DataFrame:
+    """(slot, walked): L or D for every open slot, decided in slot order inside each component of open slots and groups."""
+    asked = cut(memberships.join(open_reads.select("gkey").distinct(), "gkey", "left_semi"))
+    decided = asked.join(state.filter("status = 'L'").select("slot"), "slot", "left_semi")
+    per_source = decided.groupBy("gkey", "source_id").agg(F.min("slot").alias("lead_min"), F.max("t").alias("lead_t"))
+    leads = _two_best(per_source, {"lead_min": ("lead_min", False), "lead_t": ("lead_t", True)})
+    claimed = salted_lookup(open_reads, leads, "gkey", F.col("slot"), hot).filter(
+        F.when(F.col("since").isNull(), _other("lead_min") < F.col("slot")).otherwise(_other("lead_t") >= F.col("since"))
+    ).select("slot").distinct().withColumn("claimed", F.lit(True))
+
+    waiting = state.filter("status = 'U'").select("slot")
+    members = cut(asked.join(waiting, "slot", "left_semi"))
+    chained = cut(open_reads.join(members.select("gkey").distinct(), "gkey", "left_semi"))
+    ties = chained.select(F.col("slot").alias("a"), F.col("gkey").alias("b")).unionByName(members.select(F.col("slot").alias("a"), F.col("gkey").alias("b")))
+    components = connected_components(ties).select(F.col("id").alias("slot"), "component")
+    look_ups = chained.groupBy("slot").agg(F.collect_list(F.struct("gkey", "cross", "since")).alias("look_ups"))  # a slot's own
+    own = members.groupBy("slot").agg(F.first("source_id").alias("source_id"), F.first("t").alias("t"), F.collect_list("gkey").alias("groups"))
+    rows = (
+        waiting.join(components, "slot", "left").join(claimed, "slot", "left").join(look_ups, "slot", "left").join(own, "slot", "left")
+        .select(F.coalesce("component", "slot").alias("component"), "slot", "source_id", "t", F.coalesce("claimed", F.lit(False)).alias("claimed"), "look_ups", "groups")
+    )
+    ordered = rows.repartition("component").sortWithinPartitions("component", "slot")
+    return ordered.mapInArrow(_walked, "slot STRING, walked STRING")
+
+
+class _Leads:
+    """The leads a group has so far: all that matters is the latest date of two different sources."""
+
+    __slots__ = ("latest",)
+
+    def __init__(self) -> None:
+        self.latest: list[tuple[str | None, int | None]] = []
+
+    def add(self, source: str | None, t: int | None) -> None:
+        self.latest = [(source, t)] + [x for x in self.latest if x[0] != source][:1]
+
+    def claims(self, source: str | None, cross: bool, since: int | None) -> bool:
+        return any((not cross or s != source) and (since is None or (t is not None and t >= since)) for s, t in self.latest)
+
+
+def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """L or D of rows sorted by component, then slot."""
+    now, groups = None, {}
+    for batch in batches:
+        slots, status = batch.column(batch.schema.get_field_index("slot")), []
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("component", "source_id", "t", "claimed", "look_ups", "groups")]
+        for component, source, t, claimed, look_ups, own in zip(*columns, strict=True):
+            if component != now:
+                now, groups = component, {}
+            found = claimed or any(
+                x["gkey"] in groups and groups[x["gkey"]].claims(source, x["cross"], x["since"]) for x in look_ups or []
+            )
+            status.append("D" if found else "L")
+            if not found:
+                for key in own or []:
+                    groups.setdefault(key, _Leads()).add(source, t)
+        yield pa.RecordBatch.from_arrays([slots, pa.array(status, pa.string())], ["slot", "walked"])
+
+
 def _round(state: DataFrame, open_reads: DataFrame, asked: DataFrame, hot: DataFrame) -> DataFrame:
     """Mark slots with an earlier lead D, and slots without open earlier neighbours L."""
     seen = salted_lookup(open_reads, _group_state(asked, state), "gkey", F.col("slot"), hot)

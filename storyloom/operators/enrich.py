@@ -105,6 +105,19 @@ def enrichment_context(signals: DataFrame, links: DataFrame, articles: DataFrame
     )
 
 
+def member_mix(context: DataFrame) -> DataFrame:
+    """Source mix as a model is shown it: one row per member article with its source, role, URL, title and date."""
+    return context.select(
+        "signal_id", "article_id", "place", "source_id", "source_name", "source_type", "family", "role",
+        F.col("canonical_url").alias("url"), "title", "published_at",
+    )
+
+
+def member_counts(context: DataFrame) -> DataFrame:
+    """(signal_id, member_count): member articles with a known source."""
+    return context.groupBy("signal_id").agg(F.count("*").cast("int").alias("member_count"))
+
+
 def pending_enrichment(signals: DataFrame, retry: bool = False, ids: DataFrame | None = None) -> DataFrame:
     """Signals waiting for text; ``retry`` adds fallbacks and failed validations that got fallback text."""
     status = F.col("enrichment_status")
@@ -497,8 +510,14 @@ def enrichment_results(signals: DataFrame, fallback: DataFrame, checked: DataFra
     )
 
 
-def apply_enrichment(signals: DataFrame, results: DataFrame, provider: str | None = None) -> DataFrame:
-    """Signals with the new text, status and bookkeeping; signals without a result stay as they are."""
+def apply_enrichment(
+    signals: DataFrame, results: DataFrame, provider: str | None = None, now: datetime | str | None = None, counts: DataFrame | None = None
+) -> DataFrame:
+    """Signals with the new text, status and bookkeeping; signals without a result stay as they are.
+
+    With ``now`` a made text has generated_at and, from ``counts``
+    (``member_counts``), source_count; a failure has failed_at; both set updated_at.
+    """
     text = ["ai_brief", "key_points", "timeline", "source_mix", "next_watch", "related_signal_ids"]
     r = results.select("signal_id", F.col("status").alias("r_status"), F.col("error").alias("r_error"), F.col("category").alias("r_category"), *[F.col(c).alias(f"r_{c}") for c in text])
     done = F.col("r_status").isNotNull()
@@ -513,6 +532,15 @@ def apply_enrichment(signals: DataFrame, results: DataFrame, provider: str | Non
         **{c: F.col(f"r_{c}") for c in text},
     }
     joined = signals.join(r, "signal_id", "left")
+    if now is not None:
+        joined = joined.join(counts, "signal_id", "left") if counts is not None else joined.withColumn("member_count", F.lit(None).cast("int"))
+        made = F.col("r_status") != "failed"
+        new |= {
+            "enrichment_generated_at": F.when(made, ts_lit(now)),
+            "enrichment_failed_at": F.when(~made, ts_lit(now)),
+            "enrichment_source_count": F.when(made, F.coalesce("member_count", F.lit(0))),
+            "updated_at": ts_lit(now),
+        }
     old = lambda c: F.col(c) if c in signals.columns else F.lit(None)
     return joined.select(
         *[c for c in signals.columns if c not in new],
@@ -561,8 +589,8 @@ def backfill_candidates(
     return ordered if limit is None else ordered.limit(limit)
 
 
-def mark_backfill(signals: DataFrame, candidates: DataFrame, dry_run: bool = False) -> DataFrame:
-    """Signals with the candidates set back to pending, with reason and previous status."""
+def mark_backfill(signals: DataFrame, candidates: DataFrame, dry_run: bool = False, now: datetime | str | None = None) -> DataFrame:
+    """Signals with the candidates set back to pending, with reason and previous status; ``now`` becomes their updated_at."""
     if dry_run:
         return signals
     marks = candidates.select("signal_id", F.col("stale").alias("_stale"))
@@ -574,6 +602,8 @@ def mark_backfill(signals: DataFrame, candidates: DataFrame, dry_run: bool = Fal
         .otherwise("fallback_enrichment_retry")
     )
     old = lambda c: F.col(c) if c in signals.columns else F.lit(None).cast("string")
+    if now is not None:
+        joined = joined.withColumn("updated_at", F.when(hit, ts_lit(now)).otherwise(F.col("updated_at")))
     return joined.select(
         *[c for c in signals.columns if c not in ("enrichment_status", "enrichment_error", "backfill_reason", "previous_status")],
         F.when(hit, "pending").otherwise(F.col("enrichment_status")).alias("enrichment_status"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +58,28 @@ def _positive(value, default):
     return number if 0 < number < float("inf") else default
 
 
+def normalized_options(rows: DataFrame) -> DataFrame:
+    """The same for rows of text columns (mode, incremental, force, recovery, full_window, lookback_hours, enrichment_limit), as asked for by many callers.
+
+    Columns that are missing count as not given.  Flags are 'true' or not; numbers
+    that don't parse, or lie out of range, fall back to the mode's default.
+    """
+    given = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    flag = lambda name: F.coalesce(F.lower(given(name)) == "true", F.lit(False))
+    number = lambda name: F.expr(f"try_cast(`{name}` AS DOUBLE)") if name in rows.columns else F.lit(None).cast("double")
+    mode = F.when(given("mode").isin(*MODES), given("mode")).otherwise("manual")
+    recovery = flag("recovery") | flag("full_window")
+    wanted = F.when(given("incremental").isNull(), mode == "scheduled").otherwise(flag("incremental"))
+    hours, limit = number("lookback_hours"), number("enrichment_limit")
+    default = F.when(mode == "startup", F.lit(STARTUP_LOOKBACK_HOURS))
+    settled = {
+        "mode": mode, "incremental": wanted & ~recovery, "force": flag("force"), "recovery": recovery,
+        "lookback_hours": F.when((hours > 0) & (hours < float("inf")), hours).otherwise(default),
+        "enrichment_limit": F.when((limit >= 0) & (limit < 2**53) & (limit == F.floor(limit)), limit.cast("long")),
+    }
+    return rows.select(*[c for c in rows.columns if c not in (*settled, "full_window")], *[v.alias(k) for k, v in settled.items()])
+
+
 def _count(value):
     try:
         number = float(value)
@@ -172,7 +194,7 @@ def run_batch(spark: SparkSession, root: str, inputs: Inputs, options: RunOption
     out["articles"] = write("articles", conform(dedupe.dedupe_status(judged, assigned), STORED_ARTICLES))
     articles = out["articles"]
 
-    members = cut(cluster.assign_clusters(articles, cluster.cluster_edges(articles, relations, pairs)))
+    members = cut(cluster.assign_clusters(articles, relations, pairs))
     leads = cut(cluster.choose_lead(members, articles, inputs.sources))
     old_signals, old_links = read("signals", SIGNALS), read("signal_articles", LINKS)
     matched = cut(cluster.match_signals(members, leads, articles, old_signals, old_links))
@@ -182,7 +204,8 @@ def run_batch(spark: SparkSession, root: str, inputs: Inputs, options: RunOption
     support = cluster.support_edges(current, articles, relations, now)
     pruned = cluster.prune_support(relations, links)
     out["relations"] = write("relations", upsert(conform(pruned, RELATIONS), conform(support, RELATIONS), RELATION_KEY, relation_rest))
-    signals = conform(old_signals, SIGNALS).unionByName(conform(cluster.new_signals(matched, now), SIGNALS))
+    kept_signals = cluster.touch_signals(conform(old_signals, SIGNALS), matched, now)
+    signals = kept_signals.unionByName(conform(cluster.new_signals(matched, now), SIGNALS))
 
     # Topics and scores.
     assigned_topics = cut(topics.classify_signals(signals, links, articles, inputs.sources, inputs.suggestions))
@@ -198,7 +221,7 @@ def run_batch(spark: SparkSession, root: str, inputs: Inputs, options: RunOption
     if options.enrichment_limit is not None:
         waiting = waiting.orderBy("signal_id").limit(options.enrichment_limit)
     waiting = cut(waiting)
-    out["signals"] = write("signals", conform(_enriched(scored, waiting, links, articles, inputs), SIGNALS))
+    out["signals"] = write("signals", conform(_enriched(scored, waiting, links, articles, inputs, now), SIGNALS))
 
     outcomes = (
         readiness.join(failed.withColumnRenamed("reason", "f_reason"), "source_id", "left")
@@ -251,27 +274,29 @@ def _record_fetches(read, write, out, sources, readiness, running, failed, now)
     out["schedule"] = write("schedule", conform(ingest.next_fetch(sources, results, now), SCHEDULE))
 
 
-def _enriched(signals: DataFrame, waiting: DataFrame, links: DataFrame, articles: DataFrame, inputs: Inputs) -> DataFrame:
+def _enriched(signals: DataFrame, waiting: DataFrame, links: DataFrame, articles: DataFrame, inputs: Inputs, now: datetime) -> DataFrame:
     context = enrich.enrichment_context(waiting, links, articles, inputs.sources)
+    counts = enrich.member_counts(context)
     fallback = cut(enrich.fallback_outputs(waiting, context, enrich.extract_terms_claims(waiting, links, articles)))
     if inputs.outputs is None:
-        return enrich.apply_enrichment(signals, enrich.enrichment_results(waiting, fallback, None, None))
+        return enrich.apply_enrichment(signals, enrich.enrichment_results(waiting, fallback, None, None), None, now, counts)
     repaired = enrich.repair_outputs(enrich.parse_outputs(inputs.outputs), fallback, waiting)
     checked = enrich.validate_outputs(repaired, fallback)
-    return enrich.apply_enrichment(signals, enrich.enrichment_results(waiting, fallback, checked, "table"), "table")
+    return enrich.apply_enrichment(signals, enrich.enrichment_results(waiting, fallback, checked, "table"), "table", now, counts)
 
 
 def run_backfill(
     spark: SparkSession, root: str, inputs: Inputs, run_id: str, limit: int | None = 25, dry_run: bool = False,
-    stale_only: bool = False, statuses: list[str] | None = None, published_after=None,
+    stale_only: bool = False, statuses: list[str] | None = None, published_after=None, now: datetime | None = None,
 ) -> DataFrame:
     """Select stale signals, set them to pending and make their text again; a dry run only returns the candidates."""
     signals = read_version(spark, root, "signals", SIGNALS)
     candidates = cut(enrich.backfill_candidates(signals, limit, stale_only, statuses, published_after))
     if dry_run:
         return candidates
-    marked = conform(enrich.mark_backfill(signals, candidates), SIGNALS)
+    now = now or datetime.now(timezone.utc).replace(tzinfo=None)
+    marked = conform(enrich.mark_backfill(signals, candidates, now=now), SIGNALS)
     links, articles = read_version(spark, root, "signal_articles", LINKS), read_version(spark, root, "articles", STORED_ARTICLES)
     waiting = cut(marked.join(candidates.select("signal_id"), "signal_id", "left_semi"))
-    write_version(conform(_enriched(marked, waiting, links, articles, inputs), SIGNALS), root, "signals", run_id)
+    write_version(conform(_enriched(marked, waiting, links, articles, inputs, now), SIGNALS), root, "signals", run_id)
     return candidates

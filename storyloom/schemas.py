@@ -86,7 +86,8 @@ SIGNALS = shape(
     (STRS, "related_signal_ids"),
     (STR, "enrichment_error enrichment_provider error_category"),
     (BOOL, "fallback_generated"),
-    (INT, "enrichment_version"),
+    (INT, "enrichment_version enrichment_source_count"),
+    (TS, "enrichment_generated_at enrichment_failed_at"),
     (STR, "backfill_reason previous_status"),
     (TS, "created_at updated_at"),
 )
