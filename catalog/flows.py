@@ -25,15 +25,13 @@ def _folder(t, name):
 
 
 def _land_records(t):
-    """Records by ten-day span as landing files."""
+    """Records by ten-day span of their fetch, each span appended as the files Spark makes of it."""
     path = _folder(t, "records")
     utc = lambda c: F.col(c).cast("timestamp").alias(c)
     r = t.records_fx.select("source_id", "external_id", "title", "url", utc("published_at"), utc("fetched_at"), "summary", "payload", "response_meta")
-    for span in ("2024-01-11", "2024-01-21", "2024-02-10"):
-        part = r.filter(F.ceil(F.dayofmonth(F.col("fetched_at") - F.expr("INTERVAL 1 HOUR")) / 10.0).cast("int") == {"2024-01-11": 1, "2024-01-21": 2, "2024-02-10": 3}[span])
-        part.coalesce(1).write.mode("append").parquet(path)
-    last = r.filter(F.dayofmonth(F.col("fetched_at") - F.expr("INTERVAL 1 HOUR")) > 30)
-    last.coalesce(1).write.mode("append").parquet(path)
+    day = F.dayofmonth(F.col("fetched_at") - F.expr("INTERVAL 1 HOUR"))
+    for low, high in ((1, 10), (11, 20), (21, 31)):
+        r.filter(day.between(low, high)).write.mode("append").parquet(path)
     return path, r.schema
 
 
@@ -141,7 +139,7 @@ def stream_health(t):
     )
     landing, root = _folder(t, "log"), _folder(t, "health")
     for half in (0, 1):  # arrival in time order
-        log.filter((F.hour("at") >= 12) == bool(half)).coalesce(1).write.mode("append").parquet(landing)
+        log.filter((F.hour("at") >= 12) == bool(half)).write.mode("append").parquet(landing)
     none = F.lit(None).cast("timestamp")
     first = log.select("source_id").distinct().select(
         "source_id", none.alias("last_successful_at"), none.alias("last_failure_at"), F.lit(0).cast("bigint").alias("failure_count"), F.lit(None).cast("string").alias("last_error_category")
@@ -152,19 +150,30 @@ def stream_health(t):
     return _ntz(read_version(t.spark, root, "health"), "last_successful_at", "last_failure_at")
 
 
-@query(
-    "stream_refresh",
-    SCORE_BASE,
-    f"{SCORES} SELECT signal_id, heat_score, signal_score FROM scores WHERE signal_id IN (SELECT signal_id FROM links_fx WHERE CAST(substr(article_id, 5) AS BIGINT) % 7 = 2)",
-)
+@query("stream_refresh", SCORE_BASE, f"{SCORES} SELECT signal_id, heat_score, signal_score FROM scores")
 def stream_refresh(t):
-    landing, out = _folder(t, "touched"), _folder(t, "scores")
-    ids = t.articles.filter(F.substring("article_id", 5, 20).cast("long") % 7 == 2).select("article_id")
-    ids.coalesce(1).write.parquet(landing)
+    """Stored scores after two batches: all articles, then changed trust of policy sources and links that crossref articles gained."""
+    from storyloom.sources.keyed import KeyedTable
+
+    landing, checkpoint = _folder(t, "changes"), _folder(t, "ckpt")
+    store = KeyedTable(t.spark, f"scores_{uuid.uuid4().hex}", _folder(t, "scores"), inc.STORED_SCORES, ["signal_id"], parts=16, buckets=4)
     graded = quality.classify_articles(t.articles, t.sources, NOW)
-    held = {"signals": t.signals_fx, "links": t.links_fx, "articles": graded, "sources": t.sources, "relations": t.relations_fx, "signal_topics": t.signal_topics_fx}
-    inc.start(inc.landing_records(t.spark, landing, ids.schema), inc.refresh_handler(held, NOW, _sink(out)), _folder(t, "ckpt"), None).awaitTermination()
-    return t.spark.read.parquet(out).select("signal_id", "heat_score", "signal_score")
+    now = {"signals": t.signals_fx, "links": t.links_fx, "articles": graded, "sources": t.sources, "relations": t.relations_fx, "signal_topics": t.signal_topics_fx}
+    policy = F.col("family") == "policy"
+    late = t.articles.join(t.sources.filter("source_type = 'crossref'"), "source_id", "left_semi").select("article_id")
+    gained = t.links_fx.filter("role = 'supporting'").join(late, "article_id", "left_semi")
+    before = now | {
+        "sources": t.sources.withColumn("trust_score", F.when(policy, F.lit(0.05)).otherwise(F.col("trust_score"))),
+        "links": t.links_fx.join(gained, ["signal_id", "article_id"], "left_anti"),
+    }
+    ids = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).alias("id"))
+    first = ids("article", t.articles, "article_id")
+    second = ids("source", t.sources.filter(policy), "source_id").unionByName(ids("article", gained, "article_id"))
+    for tables, changes in ((before, first), (now, second)):
+        changes.write.mode("append").parquet(landing)
+        stream = inc.landing_records(t.spark, landing, changes.schema)
+        inc.start(stream, inc.refresh_handler(tables.__getitem__, CLOCK, store), checkpoint, None).awaitTermination()
+    return store.read().select("signal_id", "heat_score", "signal_score")
 
 
 # --- whole runs: the documents as records of their sources ---------------------------------
@@ -197,6 +206,27 @@ def run_batch(t):
     return out["signals"].select("signal_id", "title", "heat_score", "signal_score", "enrichment_status")
 
 
+@query(
+    "run_options",
+    (),
+    """SELECT event_id, CASE WHEN event_type = 'view' THEN 'startup' WHEN event_type = 'click' THEN 'scheduled' ELSE 'manual' END AS mode,
+    CASE WHEN value > 40 THEN false WHEN event_id % 3 = 0 THEN event_type = 'click' ELSE event_id % 3 = 1 END AS incremental, value < 5 AS force, value > 40 AS recovery,
+    CASE WHEN event_id % 5 IN (1, 2) THEN CASE WHEN value > 20 THEN value - 20 WHEN event_type = 'view' THEN 24.0 END WHEN event_type = 'view' THEN 24.0 END AS lookback_hours,
+    CASE event_id % 4 WHEN 0 THEN event_id % 100 WHEN 1 THEN 7 END AS enrichment_limit FROM events""",
+)
+def run_options(t):
+    """Options as the callers of the event table would give them, some of them odd."""
+    n = F.col("event_id")
+    rows = t.events.select(
+        "event_id", F.when(F.col("event_type") == "view", "startup").when(F.col("event_type") == "click", "scheduled").when(F.col("event_type") == "error", "MANUAL").alias("mode"),
+        F.when(n % 3 == 1, "true").when(n % 3 == 2, "no").alias("incremental"), F.when(F.col("value") < 5, "TRUE").otherwise("x").alias("force"),
+        F.when(F.col("value") > 40, "true").alias("full_window"),
+        F.when((n % 5).isin(1, 2), (F.col("value") - 20).cast("string")).when(n % 5 == 3, "soon").when(n % 5 == 4, "NaN").alias("lookback_hours"),
+        F.when(n % 4 == 0, (n % 100).cast("string")).when(n % 4 == 1, "7.0").when(n % 4 == 2, "2.5").otherwise("-1").alias("enrichment_limit"),
+    )
+    return batch.normalized_options(rows)
+
+
 RUNNING = "(SELECT source_id FROM sources WHERE enabled AND NOT (source_type IN ('rss', 'atom') AND feed_url IS NULL) AND NOT (source_type NOT IN ('rss', 'atom', 'hacker_news') AND api_endpoint IS NULL))"
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,15 +156,35 @@ def topic_confidence(signal_topics: DataFrame) -> DataFrame:
     )
 
 
+def _borders(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(mask, t, border) of the asks among one hour's sorted events and asks: signed number of events so far that share a topic.
+
+    ``inside[c]`` is the number of events whose topics all lie in ``c``.
+    """
+    every = np.arange(size)
+    now, inside = None, np.zeros(size, dtype=np.int64)
+    for batch in batches:
+        out = []
+        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hour", "edge", "mask", "n", "t"))
+        for hour, edge, mask, n, t in zip(*columns, strict=True):
+            if hour != now:
+                now, inside = hour, np.zeros(size, dtype=np.int64)
+            if edge == 0:
+                inside[(every & mask) == mask] += n
+            else:
+                out.append((mask, t, edge * int(inside[size - 1] - inside[(size - 1) ^ mask])))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["mask", "t", "border"])
+
+
 def topic_velocity(signals: DataFrame, signal_topics: DataFrame, topic_order: list[str] | None = None) -> DataFrame:
     """Share of three other signals within 72 h that have a topic in common.
 
-    Signals are reduced to counts per (topic mask, instant).  Topics are few, so
-    masks are few (at most 2^8), and the count of one mask inside
-    ``[t - 72 h, t + 72 h]`` is a range sum over hour totals, corrected by the
-    running count inside the two border hours.  No pair of signals is formed,
-    so a busy topic costs no more than a quiet one, and no window partition is
-    larger than the distinct instants of one hour.
+    Signals are reduced to counts per (topic mask, instant).  Those that share a
+    topic with a mask are all less those inside its complement, a subset sum: an
+    hour gives one total per mask in use, and ``[t - 72 h, t + 72 h]`` is a range
+    sum over hours, corrected by the running subset sums inside the two border
+    hours.  No pair of signals or masks is formed, so a busy topic costs no more
+    than a quiet one.
     """
     from .topics import TOPICS
 
@@ -179,45 +203,31 @@ def topic_velocity(signals: DataFrame, signal_topics: DataFrame, topic_order: li
     points = cut(
         dated.groupBy("mask", "t").agg(F.count("*").alias("n")).withColumn("hour", F.floor(F.col("t") / hour_ms))
     )
-    all_masks = points.select("mask").distinct()
-    shared = all_masks.select(F.col("mask").alias("ask_mask")).join(
-        F.broadcast(all_masks), F.col("ask_mask").bitwiseAND(F.col("mask")) > 0
+    asked = sorted(r["mask"] for r in points.select("mask").distinct().collect())  # at most 2^topics numbers
+    counts = points.groupBy("hour", "mask").agg(F.sum("n").alias("n"))
+    held = counts.groupBy("hour").agg(F.collect_list(F.struct("mask", "n")).alias("held"))  # at most one entry a mask
+    sharing = lambda m: F.aggregate(
+        "held", F.lit(0).cast("long"), lambda total, x: total + F.when(x["mask"].bitwiseAND(m) > 0, x["n"]).otherwise(F.lit(0).cast("long"))
     )
-    asks = points.select(F.col("mask").alias("ask_mask"), "t", "hour").join(F.broadcast(shared), "ask_mask")
-
-    hourly = points.groupBy("mask", "hour").agg(F.sum("n").alias("n"))
-    slots = hourly.unionByName(asks.select("mask", "hour").distinct().withColumn("n", F.lit(0).cast("long")))
-    totals = (
-        slots.groupBy("mask", "hour")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("inside", F.sum("n").over(Window.partitionBy("mask").orderBy("hour").rangeBetween(-span, span - 1)))
-        .select("mask", "hour", "inside")
+    totals = held.select(
+        "hour", F.inline(F.transform(F.array(*[F.lit(m).cast("long") for m in asked]) if asked else F.array().cast("array<bigint>"), lambda m: F.struct(m.alias("mask"), sharing(m).alias("n"))))
     )
-    full = asks.join(totals, ["mask", "hour"]).groupBy("ask_mask", "t").agg(F.sum("inside").alias("inside"))
+    around = Window.partitionBy("mask").orderBy("hour").rangeBetween(-span, span - 1)
+    full = points.select("mask", "t", "hour").join(totals.withColumn("inside", F.sum("n").over(around)).select("mask", "hour", "inside"), ["mask", "hour"])
 
     # Border hours: events before t - 72 h leave the sum, events up to t + 72 h join it.
     none = F.lit(None).cast("long")
-    at = lambda sign: (F.col("t") + sign * span * hour_ms)
-    line = points.select("mask", "hour", F.col("t").alias("at"), "n", none.alias("ask_mask"), none.alias("t"), F.lit(0).alias("edge"))
+    lines = points.select("hour", F.col("t").alias("at"), F.lit(0).alias("edge"), "mask", "n", none.alias("t"))
     for sign in (-1, 1):
-        line = line.unionByName(
-            asks.select(
-                "mask", (F.col("hour") + sign * span).alias("hour"), at(sign).alias("at"),
-                F.lit(0).cast("long").alias("n"), "ask_mask", "t", F.lit(sign).alias("edge"),
+        lines = lines.unionByName(
+            points.select(
+                (F.col("hour") + sign * span).alias("hour"), (F.col("t") + sign * span * hour_ms).alias("at"), F.lit(sign).alias("edge"), "mask", none.alias("n"), "t"
             )
         )
-    so_far = F.sum("n").over(
-        Window.partitionBy("mask", "hour").orderBy("at", "edge").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    border = (
-        line.withColumn("so_far", so_far)
-        .filter("edge <> 0")
-        .groupBy("ask_mask", "t")
-        .agg(F.sum(F.col("so_far") * F.col("edge")).alias("border"))
-    )
-    near = full.join(border, ["ask_mask", "t"]).select(
-        F.col("ask_mask").alias("mask"), "t", (F.col("inside") + F.col("border") - 1).alias("others")
-    )
+    size = 1 << len(slugs)
+    ordered = lines.repartition("hour").sortWithinPartitions("hour", "at", "edge")
+    border = ordered.mapInArrow(lambda batches: _borders(batches, size), "mask long, t long, border long").groupBy("mask", "t").agg(F.sum("border").alias("border"))
+    near = full.join(border, ["mask", "t"]).select("mask", "t", (F.col("inside") + F.col("border") - 1).alias("others"))
     scored = dated.join(near, ["mask", "t"]).select(
         "signal_id", F.least(F.col("others") / F.lit(3.0), F.lit(1.0)).alias("topic_velocity")
     )
@@ -234,8 +244,12 @@ def score_context(
     relations: DataFrame,
     signal_topics: DataFrame,
     now,
+    velocity: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per signal with every component value, unclamped."""
+    """One row per signal with every component value, unclamped.
+
+    ``velocity`` gives the topic velocities where ``signals`` are only some of all.
+    """
     members = cut(score_members(links, articles))  # texts are read once, for their lengths
     people = member_scores(members, sources, now)
     edges = relation_scores(scope_relations(relations, members))
@@ -244,7 +258,7 @@ def score_context(
         .join(people, "signal_id", "left")
         .join(edges, "signal_id", "left")
         .join(topic_confidence(signal_topics), "signal_id", "left")
-        .join(topic_velocity(signals, signal_topics), "signal_id", "left")
+        .join(topic_velocity(signals, signal_topics) if velocity is None else velocity, "signal_id", "left")
     )
     strength = evidence_strength(
         F.col("n_sources"), F.coalesce("n_dup", F.lit(0)), F.col("mean_support")

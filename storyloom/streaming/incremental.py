@@ -11,10 +11,16 @@ from pyspark.sql.types import StructType
 
 from ..operators import ingest, scoring
 from ..operators.ingest import content_hash, filter_lookback
-from ..schemas import RAW_ITEMS, RECORDS
+from ..operators.lineage import cut
+from ..schemas import DBL, RAW_ITEMS, RECORDS, STR, TS, shape
+from ..sources.keyed import KeyedTable
 from ..sources.tables import path_exists, read_version, write_version
 
 EVERY = "30 minutes"
+SEEN_KEY = ["source_id", "external_id"]
+SEEN_BUCKETS = 64
+BLOOM_BITS, BLOOM_HASHES = 1 << 22, 4
+STORED_SCORES = shape((STR, "signal_id"), (DBL, "heat_score signal_score"), (TS, "primary_published_at"))
 
 
 def landing_records(spark: SparkSession, landing: str, schema: StructType = RECORDS, files_per_batch: int | None = None) -> DataFrame:
@@ -72,19 +78,56 @@ def stream_first_seen(records: DataFrame, late: str = "30 days") -> DataFrame:
     return records.withWatermark("fetched_at", late).dropDuplicatesWithinWatermark(["source_id", "external_id"])
 
 
+def _placed(ids: DataFrame) -> DataFrame:
+    """``ids`` with the bucket of the seen store that holds them and their hash."""
+    return ids.withColumn("_hash", F.xxhash64(*SEEN_KEY)).withColumn("bucket", F.pmod("_hash", F.lit(SEEN_BUCKETS)).cast("int"))
+
+
+def _bits(placed: DataFrame) -> DataFrame:
+    """(source_id, external_id, bucket, word, bit): the places of each id in its bucket's Bloom filter."""
+    spots = F.array(*[F.pmod(F.xxhash64(F.lit(k), "_hash"), F.lit(BLOOM_BITS)) for k in range(BLOOM_HASHES)])
+    spread = placed.select(*SEEN_KEY, "bucket", F.explode(spots).alias("spot"))
+    return spread.select(*SEEN_KEY, "bucket", F.floor(F.col("spot") / 64).alias("word"), F.expr("shiftleft(CAST(1 AS BIGINT), CAST(spot % 64 AS INT))").alias("bit"))
+
+
+def suspect_buckets(root: str, placed: DataFrame, batch_id: int) -> list[int]:
+    """Buckets of the seen store that may hold an id of the batch, by the filters of earlier batches; at most SEEN_BUCKETS numbers."""
+    spark, folder = placed.sparkSession, f"{root}/bloom"
+    if not path_exists(spark, folder):
+        return []
+    asked = [r[0] for r in placed.select("bucket").distinct().collect()]
+    stored = spark.read.schema("word BIGINT, bits BIGINT, batch BIGINT, bucket INT").parquet(folder)
+    filters = stored.filter((F.col("batch") < batch_id) & F.col("bucket").isin(*asked)).groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits"))
+    hit = _bits(placed).join(filters, ["bucket", "word"]).filter(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    whole = hit.groupBy(*SEEN_KEY, "bucket").agg(F.count("*").alias("n")).filter(F.col("n") == BLOOM_HASHES)
+    return sorted(r[0] for r in whole.select("bucket").distinct().collect())
+
+
+def seen_ids(root: str, spark: SparkSession, batch_id: int, buckets: list[int]) -> DataFrame:
+    """Ids that earlier batches put into ``buckets``; only their files are read."""
+    schema = "source_id STRING, external_id STRING, batch BIGINT, bucket INT"
+    if not buckets:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root}/seen").filter((F.col("batch") < batch_id) & F.col("bucket").isin(*buckets))
+
+
 def first_seen_exact(root: str, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler that passes on ids never seen in any batch, and remembers them for good."""
+    """Micro-batch handler that passes on ids never seen in any batch, and remembers them for good.
+
+    Ids lie in SEEN_BUCKETS buckets by hash, each with a Bloom filter; a batch asks
+    the filters and reads only buckets that may hold one of its ids.  A replayed
+    batch overwrites its own folders and is compared with earlier batches only.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        folder = f"{root}/seen"
-        empty = spark.createDataFrame([], "source_id STRING, external_id STRING, batch BIGINT")
-        known = empty
-        if path_exists(spark, folder):
-            known = spark.read.schema(empty.schema).parquet(folder).filter(F.col("batch") < batch_id)
-        fresh = batch.dropDuplicates(["source_id", "external_id"]).join(known, ["source_id", "external_id"], "left_anti")
-        write(fresh, batch_id)
-        fresh.select("source_id", "external_id").write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        placed = _placed(cut(batch.dropDuplicates(SEEN_KEY)))
+        buckets = suspect_buckets(root, placed, batch_id)
+        known = seen_ids(root, batch.sparkSession, batch_id, buckets)
+        fresh = cut(placed.join(known.select(*SEEN_KEY), SEEN_KEY, "left_anti"))
+        write(fresh.drop("_hash", "bucket"), batch_id)
+        bits = _bits(fresh).groupBy("bucket", "word").agg(F.bit_or("bit").alias("bits"))
+        for name, rows in (("seen", fresh.select(*SEEN_KEY, "bucket")), ("bloom", bits)):
+            rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{name}/batch={batch_id}")
 
     return handle
 
@@ -136,23 +179,65 @@ def stream_date_summary(signals: DataFrame) -> DataFrame:
     )
 
 
-def refresh_scores(article_ids: DataFrame, signals, links, articles, sources, relations, signal_topics, now) -> DataFrame:
-    """Scores of the signals that contain any of the given articles."""
-    touched = ingest.signals_for_articles(links, article_ids)
-    own = links.join(touched, "signal_id", "left_semi")
-    context = scoring.score_context(signals, own, articles, sources, relations, signal_topics, now)
-    scores = scoring.score_signals(scoring.score_components(context.join(touched, "signal_id", "left_semi")))
-    return scores
+# --- re-scoring ---------------------------------------------------------------------------
 
 
-def refresh_handler(tables: dict[str, DataFrame], now, write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler that re-scores the signals of newly arrived articles."""
+def touched_signals(changes: DataFrame, signals: DataFrame, links: DataFrame, articles: DataFrame, stored: DataFrame) -> DataFrame:
+    """Signals whose scores (kind, id) ``changes`` may move; kinds are article, source and signal.
+
+    Those with a changed article or an article of a changed source, the changed
+    signals, and, as topic velocity counts neighbours, the signals dated within
+    72 h of a changed signal's date, now or when it was last scored.
+    """
+    of = lambda kind: changes.filter(F.col("kind") == kind).select("id").distinct()
+    own = articles.join(of("source").withColumnRenamed("id", "source_id"), "source_id", "left_semi").select("article_id")
+    moved = own.unionByName(of("article").withColumnRenamed("id", "article_id"))
+    by_article = links.join(moved, "article_id", "left_semi").select("signal_id")
+    direct = of("signal").withColumnRenamed("id", "signal_id")
+    dates = lambda rows: rows.join(direct, "signal_id", "left_semi").select(F.col("primary_published_at").cast("timestamp").alias("at"))
+    days = around(dates(signals).unionByName(dates(stored)))
+    near = signals.join(days, F.to_date("primary_published_at") == F.col("day"), "left_semi").select("signal_id")
+    return by_article.unionByName(direct).unionByName(near).distinct()
+
+
+def around(dates: DataFrame) -> DataFrame:
+    """Days within 72 h of any of the dates (column ``at``)."""
+    day = F.to_date("at")
+    return dates.filter("at IS NOT NULL").select(F.explode(F.sequence(F.date_sub(day, 4), F.date_add(day, 4))).alias("day")).distinct()
+
+
+def refresh_scores(touched: DataFrame, signals, links, articles, sources, relations, signal_topics, now) -> DataFrame:
+    """Scores (signal_id, heat_score, signal_score, primary_published_at) of the ``touched`` signals.
+
+    Members, relations and topics are narrowed to those signals first; velocity
+    looks at the signals of the days around them.
+    """
+    mine = cut(signals.join(touched, "signal_id", "left_semi"))
+    own = cut(links.join(touched, "signal_id", "left_semi"))
+    members = own.select("article_id").distinct()
+    days = around(mine.select(F.col("primary_published_at").cast("timestamp").alias("at")))
+    neighbours = signals.join(days, F.to_date("primary_published_at") == F.col("day"), "left_semi")
+    about = relations.join(members, "article_id", "left_semi").unionByName(relations.filter("article_id IS NULL").join(touched, "signal_id", "left_semi"))
+    topics = signal_topics.join(touched, "signal_id", "left_semi")
+    velocity = scoring.topic_velocity(neighbours, signal_topics.join(neighbours.select("signal_id"), "signal_id", "left_semi"))
+    context = scoring.score_context(mine, own, articles.join(members, "article_id", "left_semi"), sources, about, topics, now, velocity)
+    scores = scoring.score_signals(scoring.score_components(context))
+    return scores.join(mine.select("signal_id", "primary_published_at"), "signal_id")
+
+
+def refresh_handler(read: Callable[[str], DataFrame], now, store: KeyedTable) -> Callable[[DataFrame, int], None]:
+    """Micro-batch handler of (kind, id) changes that re-scores what they touch and merges it into the stored scores.
+
+    ``read`` gives a table's current state by name, so every batch sees the tables
+    as they are then.  Scores of signals that are gone are removed.  A replayed
+    batch makes the same rows again.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        scores = refresh_scores(
-            batch.select("article_id").distinct(), tables["signals"], tables["links"], tables["articles"], tables["sources"],
-            tables["relations"], tables["signal_topics"], now,
-        )
-        write(scores, batch_id)
+        signals, links, articles = read("signals"), read("links"), read("articles")
+        touched = cut(touched_signals(cut(batch.select("kind", "id").distinct()), signals, links, articles, store.read()))
+        gone = touched.join(signals.select("signal_id"), "signal_id", "left_anti")
+        store.delete(gone)
+        store.upsert(cut(refresh_scores(touched, signals, links, articles, read("sources"), read("relations"), read("signal_topics"), now)))
 
     return handle
