@@ -265,11 +265,12 @@ def processed_counts(t):
 
 @query(
     "signals_for_articles",
-    ("links_fx",),
-    " SELECT DISTINCT signal_id FROM links_fx WHERE CAST(substr(article_id, 5) AS BIGINT) % 7 = 2",
+    ("articles", "links_fx"),
+    " SELECT DISTINCT signal_id FROM links_fx l JOIN articles a ON a.article_id = l.article_id WHERE a.published_at > TIMESTAMP '2024-01-20 00:00:00'",
 )
 def signals_for_articles(t):
-    touched = t.links_fx.filter(F.substring("article_id", 5, 20).cast("long") % 7 == 2).select("article_id")
+    """Signals of the articles published after a cursor."""
+    touched = t.articles.filter("published_at > TIMESTAMP_NTZ '2024-01-20 00:00:00'").select("article_id")
     return ingest.signals_for_articles(t.links_fx, touched)
 
 

@@ -4,10 +4,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from storyloom.operators import serving, topics
+from storyloom.operators import scoring, serving, topics
 from storyloom.operators.serving import FAMILY_LABELS
 
 from .registry import query, r3
+from .scoring import SCORES
 
 BASE = ("articles", "sources", "signals_fx", "links_fx", "signal_topics_fx")
 CLOCK = datetime(2024, 1, 31)
@@ -353,6 +354,87 @@ def related_signals(t):
     return serving.related_signals(t.signals_fx, rows)
 
 
+# The mix of every signal names the first three sources, with and without a name and a role of their own.
+def _mixed(signals):
+    given = lambda source, name, role: F.struct(F.lit(source).alias("source_id"), F.lit(name).alias("source_name"), F.lit(role).alias("role"))
+    return signals.withColumn("source_mix", F.array(given("src0", "", "official"), given("src1", "Given name", ""), given("src2", None, None)))
+
+
+MIX = f"""mixes AS (SELECT vis.signal_id, position, m.source_id, coalesce(nullif(m.source_name, ''), s.name) AS source_name, coalesce(nullif(m.role, ''), 'supporting') AS role, s.canonical_url AS original_url
+    FROM vis CROSS JOIN (VALUES (CAST(0 AS INT), 'src0', '', 'official'), (1, 'src1', 'Given name', ''), (2, 'src2', NULL, NULL)) m(position, source_id, source_name, role)
+    LEFT JOIN seen s ON s.signal_id = vis.signal_id AND s.source_id = m.source_id)"""
+
+
+@query("detail_mix", BASE, f", {CTX}, {MIX} SELECT * FROM mixes")
+def detail_mix(t):
+    return serving.detail_mix(_mixed(serving.visible(t.signals_fx)), t.links_fx, t.articles, t.sources)
+
+
+# --- one signal's page, all parts -----------------------------------------------------------
+
+
+def _page_signals(t):
+    """Signals with points, timeline, mix and related ids."""
+    point = lambda k: F.struct(F.lit(f"point {k}").alias("text"), F.array(*[F.lit(f"src{k * 5 + i}") for i in range(4)]).alias("source_ids"))
+    step = lambda k: F.struct(F.lit(f"step {k}").alias("label"), F.lit("2024-01-02").alias("at"), F.array(F.lit(f"src{k}"), F.lit(f"src{k + 7}")).alias("source_ids"))
+    sid = lambda n: F.concat(F.lit("sig_"), F.lpad(n.cast("string"), 9, "0"))
+    return _mixed(t.signals_fx).withColumns(
+        {
+            "key_points": F.array(point(0), point(1)), "timeline": F.array(step(0), step(1), step(2)),
+            "related_signal_ids": F.array(sid(F.col("number") + 1), sid(F.col("number") + 2)),
+        }
+    )
+
+
+SHOWN_PAGE = f"""one AS (SELECT * FROM vis ORDER BY {ORDER} LIMIT 1),
+  points AS (SELECT 'key_points' AS part, CAST(k AS INT) AS place, 'point ' || k AS text, ['src' || (k * 5), 'src' || (k * 5 + 1), 'src' || (k * 5 + 2), 'src' || (k * 5 + 3)] AS ids FROM (VALUES (0), (1)) x(k)
+    UNION ALL SELECT 'timeline', CAST(k AS INT), 'step ' || k, ['src' || k, 'src' || (k + 7)] FROM (VALUES (0), (1), (2)) x(k)),
+  cited AS (SELECT part, place, text, coalesce(string_agg(s.source_id, ',' ORDER BY n) FILTER (s.source_id IS NOT NULL), '') AS sources
+    FROM (SELECT part, place, text, unnest(ids) AS source_id, generate_subscripts(ids, 1) AS n FROM points) p LEFT JOIN (SELECT source_id FROM seen WHERE signal_id = (SELECT signal_id FROM one)) s USING (source_id) GROUP BY ALL)"""
+
+
+@query(
+    "signal_detail",
+    (*BASE, "relations_fx"),
+    f"""{SCORES}, {CTX.replace("seen AS", "seen AS MATERIALIZED")}, {MIX}, {SHOWN_PAGE}
+    SELECT 'summary' AS part, 0 AS place, o.signal_id || ' ' || c.source_count || ' ' || c.families AS text FROM one o JOIN ctx c USING (signal_id)
+    UNION ALL SELECT part, place, text || ': ' || sources FROM cited
+    UNION ALL SELECT 'source_mix', position, source_id || ' ' || coalesce(source_name, '-') || ' ' || role || ' ' || coalesce(original_url, '-') FROM mixes WHERE signal_id = (SELECT signal_id FROM one)
+    UNION ALL SELECT 'related', CAST(k AS INT), v.signal_id || ' ' || coalesce(v.title, '') FROM one o CROSS JOIN (VALUES (0), (1)) x(k) JOIN vis v ON v.number = o.number + 1 + k
+    UNION ALL SELECT 'components', 0, component || ' ' || weight || ' ' || CAST(round(contribution * 1000) AS BIGINT) FROM components WHERE signal_id = (SELECT signal_id FROM one)
+    UNION ALL SELECT 'articles', 0, l.article_id || ' ' || l.role || ' ' || a.source_id FROM links_fx l JOIN articles a USING (article_id) WHERE l.signal_id = (SELECT signal_id FROM one)
+    UNION ALL SELECT 'attribution', 0, l.article_id || ' ' || coalesce(a.canonical_url, '-') FROM links_fx l JOIN articles a USING (article_id) WHERE l.signal_id = (SELECT signal_id FROM one)
+    UNION ALL SELECT 'topics', 0, topic_slug || ' ' || topic_name FROM shown WHERE signal_id = (SELECT signal_id FROM one)""",
+)
+def signal_detail(t):
+    """The whole page of the best signal, one row per thing on it."""
+    from .scoring import _context as _score_context
+
+    signals = _page_signals(t)
+    best = serving.ranked_visible(signals).select("signal_id").first()
+    components = scoring.score_components(_score_context(t))
+    page = serving.signal_detail(signals, t.links_fx, t.articles, t.sources, t.signal_topics_fx, topics.topics_dim(t.spark), components, best.signal_id if best else "")
+    zero, j = F.lit(0).alias("place"), lambda *c: F.concat_ws(" ", *c).alias("text")
+    refs = F.coalesce(F.array_join(F.transform("sources", lambda s: s["source_id"]), ","), F.lit(""))
+    or_dash = lambda c: F.coalesce(c, F.lit("-"))
+    shown = {
+        "summary": lambda p: p.select(zero, j("signal_id", F.col("source_count").cast("string"), F.array_join("source_families", ","))),
+        "key_points": lambda p: p.select(F.col("position").alias("place"), F.concat("text", F.lit(": "), refs).alias("text")),
+        "timeline": lambda p: p.select(F.col("position").alias("place"), F.concat("label", F.lit(": "), refs).alias("text")),
+        "source_mix": lambda p: p.select(F.col("position").alias("place"), j("source_id", or_dash("source_name"), "role", or_dash("original_url"))),
+        "related": lambda p: p.select(F.col("position").alias("place"), F.concat("related_id", F.lit(" "), F.coalesce("related_title", F.lit(""))).alias("text")),
+        "components": lambda p: p.select(zero, j("component", F.col("weight").cast("string"), F.round(F.col("contribution") * 1000).cast("long").cast("string"))),
+        "articles": lambda p: p.select(zero, j("article_id", "role", "source_id")),
+        "attribution": lambda p: p.select(zero, j("article_id", or_dash("url"))),
+        "topics": lambda p: p.select(zero, j("topic_slug", "topic_name")),
+    }
+    out = None
+    for name, rows in page.items():
+        part = shown[name](rows).select(F.lit(name).alias("part"), "place", "text")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # One status row per minute-of-day bucket of the event table.
 STATUS = """status AS (SELECT CAST(epoch_ms(date_trunc('hour', ts)) / 3600000 AS BIGINT) AS run, count(*) FILTER (event_type = 'view') AS succeeded, count(*) FILTER (event_type = 'error' AND value > 20) AS failed,
     count(*) FILTER (event_type = 'signup' AND value > 20) AS skipped, count(*) FILTER (event_type = 'purchase' AND value > 10) AS visible_count, max(ts) AS last_ts FROM events GROUP BY 1),

@@ -377,13 +377,92 @@ def normalize_errors(t):
     return errors.select("source_id", "external_id", "error_category")
 
 
+@query(
+    "normalize_error_kinds",
+    BASE,
+    f""", {RAWS}, known AS (SELECT source_id, CASE WHEN family = 'policy' THEN 'podcast' ELSE source_type END AS kind FROM sources WHERE family <> 'funding')
+    SELECT r.source_id, 'x' || n AS external_id, CASE WHEN k.source_id IS NULL THEN 'source_not_found' WHEN kind = 'podcast' THEN 'unsupported_source_type' ELSE 'process_failed' END AS error_category
+    FROM raws r LEFT JOIN known k ON k.source_id = r.source_id WHERE k.source_id IS NULL OR kind IN ('podcast', 'rss', 'atom', 'newsapi', 'hacker_news')""",
+)
+def normalize_error_kinds(t):
+    """Raw items of sources that were removed, of a type nobody reads, and without a page."""
+    known = t.sources.filter("family <> 'funding'").withColumn("source_type", F.when(F.col("family") == "policy", "podcast").otherwise(F.col("source_type")))
+    _, errors = normalize.normalize(_raw(t), known, page_ops.extract_pages(t.pages))
+    return errors.select("source_id", "external_id", "error_category")
+
+
+@query(
+    "seeded_sources",
+    ("sources",),
+    """ SELECT family, CAST(sum(n) AS BIGINT) AS sources, CAST(sum(enabled) AS BIGINT) AS enabled, CAST(sum(trust) AS BIGINT) AS trust, CAST(sum(minutes) AS BIGINT) AS minutes FROM (
+      SELECT family, 1 AS n, CASE WHEN enabled THEN 1 ELSE 0 END AS enabled, round(trust_score * 100) AS trust, fetch_interval_minutes AS minutes FROM sources
+      UNION ALL SELECT * FROM (VALUES ('company_announcement', 3, 2, 277, 300), ('research', 4, 2, 340, 1320), ('technology_media', 16, 15, 1156, 3120),
+        ('product_launch', 2, 1, 144, 900), ('community', 1, 1, 58, 30)) v(family, n, enabled, trust, minutes)) GROUP BY family""",
+)
+def seeded_sources(t):
+    """The starting list put into the stored sources; a second time changes nothing."""
+    from storyloom.plans.batch import conform
+    from storyloom.schemas import SOURCES
+
+    seeds, rest = registry.seed_sources(t.spark), [f.name for f in SOURCES.fields if f.name != "source_id"]
+    once = tables.upsert(conform(t.sources, SOURCES), seeds, ["source_id"], rest)
+    stored = tables.upsert(once, seeds, ["source_id"], rest)
+    return stored.groupBy("family").agg(
+        F.count("*").alias("sources"), F.count_if("enabled").alias("enabled"), F.sum(F.round(F.col("trust_score") * 100).cast("long")).alias("trust"),
+        F.sum("fetch_interval_minutes").alias("minutes"),
+    )
+
+
+# Landed lines of a plugged-in format, and the same items as a news payload; read as a batch and as a stream.
+@query(
+    "read_landing",
+    BASE,
+    f""", {ITEMS}, kinds AS (SELECT * FROM (VALUES ('lines'), ('newsapi')) k(kind)), ways AS (SELECT * FROM (VALUES ('batch'), ('stream')) w(way))
+    SELECT way, kind, source_id, CASE kind WHEN 'lines' THEN 'line-' || n ELSE url END AS external_id, {TITLE} AS title, url, published_at FROM items, kinds, ways""",
+)
+def read_landing(t):
+    i = _items(t)
+    root = f"{shared_folder(t.spark)}/landing-{uuid.uuid4().hex}"
+    at = F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    lines = i.select("source_id", F.to_json(F.struct(F.concat(F.lit("line-"), F.col("n").cast("string")).alias("key"), F.col("title").alias("headline"), F.col("url").alias("link"), at.alias("time"))).alias("value"))
+    lines.write.partitionBy("source_id").text(f"{root}/lines")
+    article = F.struct("title", "url", at.alias("publishedAt"), F.col("excerpt").alias("description"))
+    answers = i.groupBy("source_id", F.floor(F.col("n") / 100).alias("page")).agg(F.collect_list(article).alias("articles"))  # pages of at most 100
+    news = answers.select("source_id", "page", F.to_json(F.struct(F.lit("ok").alias("status"), "articles")).alias("value"))
+    news.write.partitionBy("source_id", "page").text(f"{root}/newsapi")
+
+    def read_lines(spark, path, sources, fetched_at):
+        rows = spark.read.schema("key STRING, headline STRING, link STRING, time STRING, source_id STRING").json(path)
+        return readers.records(
+            rows, sources, fetched_at, external_id=F.col("key"), title=readers.clean_text("headline"), url=F.col("link"),
+            published_at=readers.to_ts("time"), summary=F.lit(None).cast("string"), raw=F.struct("key"),
+        )
+
+    readers.register_reader("lines", read_lines)
+    kinds = ["lines", "newsapi"]
+    every = _no_keywords(t)
+    sources = {k: every.withColumn("source_type", F.lit(k)) for k in kinds}
+    out = None
+    for kind in kinds:
+        once = readers.read_landing(t.spark, root, sources[kind], NOW, [kind])
+        path, ckpt = (f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}" for name in ("records", "ckpt"))
+        flow = readers.read_landing(t.spark, root, sources[kind], NOW, [kind], stream=True)
+        flow.writeStream.format("parquet").option("path", path).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+        for way, rows in (("batch", once), ("stream", t.spark.read.schema(once.schema).parquet(path))):
+            part = rows.select(
+                F.lit(way).alias("way"), F.lit(kind).alias("kind"), "source_id", "external_id", "title", "url", F.col("published_at").cast("timestamp_ntz").alias("published_at")
+            )
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "article_candidates",
     BASE,
-    """ SELECT article_id FROM articles WHERE coalesce(canonical_url, '') <> '' AND coalesce(title, '') <> '' AND coalesce(text_for_ai, '') <> '' AND CAST(substr(article_id, 5) AS BIGINT) % 6 <> 2""",
+    """ SELECT article_id FROM articles WHERE coalesce(canonical_url, '') <> '' AND coalesce(title, '') <> '' AND coalesce(text_for_ai, '') <> '' AND coalesce(published_at >= TIMESTAMP '2024-01-05 00:00:00', true)""",
 )
 def article_candidates(t):
-    known = t.articles.filter(F.substring("article_id", 5, 20).cast("long") % 6 == 2).select("raw_item_id")
+    known = t.articles.filter("published_at < TIMESTAMP_NTZ '2024-01-05 00:00:00'").select("raw_item_id")  # made by an earlier run
     return normalize.article_candidates(t.articles, known).select("article_id")
 
 

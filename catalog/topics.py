@@ -106,3 +106,24 @@ def topic_summary(t):
 def upsert_signal_topics(t):
     rows = topics.classify_signals(t.signals_fx, t.links_fx, t.articles, t.sources, t.suggestions_fx)
     return topics.upsert_signal_topics(t.signal_topics_fx, rows)
+
+
+# The topic list, written out for the check.
+TOPIC_NAMES = "['large-model-products', 'ai-agent', 'research', 'company-announcements', 'funding', 'policy', 'ai-video', 'edge-models']"
+
+
+@query(
+    "upsert_topics",
+    ("signals_fx", "suggestions_fx"),
+    f""", asked AS (SELECT topic_slug AS slug, count(*) AS n FROM suggestions_fx GROUP BY topic_slug),
+    listed AS (SELECT unnest({TOPIC_NAMES}) AS slug)
+    SELECT coalesce(l.slug, a.slug) AS slug, a.slug IS NOT NULL AS renamed, CASE WHEN a.slug IS NOT NULL THEN 'suggested ' || a.n || ' times' END AS given FROM listed l FULL JOIN asked a ON a.slug = l.slug""",
+)
+def upsert_topics(t):
+    """The topic list after suggested topics were put into it: new ones join, known ones get the new name and text."""
+    asked = t.suggestions_fx.groupBy("topic_slug").agg(F.count("*").alias("n"))
+    text = F.concat(F.lit("suggested "), F.col("n").cast("string"), F.lit(" times"))
+    changes = asked.select(F.col("topic_slug").alias("slug"), F.concat(F.lit("New "), "topic_slug").alias("name"), text.alias("description"))
+    out = topics.upsert_topics(topics.topics_dim(t.spark), changes)
+    renamed = F.col("name").startswith("New ")
+    return out.select("slug", renamed.alias("renamed"), F.when(renamed, F.col("description")).alias("given"))

@@ -98,7 +98,7 @@ def _clean_list(items: Column) -> Column:
     return F.filter(F.coalesce(F.transform(items, lambda x: clean_text(x)), empty), lambda x: x.isNotNull())
 
 
-def _records(rows: DataFrame, sources: DataFrame, fetched_at, meta: Column | None = None, **cols: Column) -> DataFrame:
+def records(rows: DataFrame, sources: DataFrame, fetched_at, meta: Column | None = None, **cols: Column) -> DataFrame:
     """Rows in the record shape.  ``payload`` keeps the mapped fields and the raw item."""
     kinds = sources.select("source_id", "source_type", F.col("language").alias("source_language"))
     none = F.lit(None).cast("string")
@@ -143,7 +143,7 @@ def read_rss(spark: SparkSession, path: str, sources: DataFrame, fetched_at) ->
     rows = _xml(spark, path, "item", RSS_ITEM)
     title, url = clean_text("title"), clean_text("link")
     published = to_ts(F.coalesce(F.nullif("pubDate", F.lit("")), F.col("date")))
-    out = _records(
+    out = records(
         rows, sources, fetched_at, F.struct(F.lit("rss").alias("feedFormat")),
         external_id=F.coalesce(clean_text("guid._VALUE"), url, fallback_external_id(title, url, published)),
         title=title, url=url, published_at=published,
@@ -170,7 +170,7 @@ def read_atom(spark: SparkSession, path: str, sources: DataFrame, fetched_at) ->
     rows = _xml(spark, path, "entry", ATOM_ENTRY)
     title, url = clean_text("title"), _alternate()
     published = to_ts(F.coalesce(F.nullif("published", F.lit("")), F.col("updated")))
-    out = _records(
+    out = records(
         rows, sources, fetched_at, F.struct(F.lit("atom").alias("feedFormat")),
         external_id=F.coalesce(clean_text("id"), url, fallback_external_id(title, url, published)),
         title=title, url=url, published_at=published, updated_at=to_ts("updated"),
@@ -190,7 +190,7 @@ def read_arxiv(spark: SparkSession, path: str, sources: DataFrame, fetched_at) -
     ident = F.regexp_replace(clean_text(F.coalesce(F.nullif("id", F.lit("")), url)), ARXIV_ID_PREFIX, "")
     authors = _clean_list(F.transform("author", lambda a: a["name"]))
     summary = clean_summary("summary")
-    return _records(
+    return records(
         rows, sources, fetched_at, _adapter("arxiv"),
         external_id=ident, title=clean_text("title"), url=url, published_at=to_ts("published"), updated_at=to_ts("updated"),
         author=_joined(authors), authors=authors, summary=summary, categories=_terms(),
@@ -221,7 +221,7 @@ def read_crossref(spark: SparkSession, path: str, sources: DataFrame, fetched_at
     texts = lambda c: F.try_element_at(_clean_list(F.col(c)), F.lit(1))
     doi = F.nullif("w.DOI", F.lit(""))
     url = F.coalesce(F.nullif("w.URL", F.lit("")), F.concat(F.lit(DOI_URL), doi))
-    return _records(
+    return records(
         rows, sources, fetched_at, F.struct(F.lit("crossref").alias("adapter"), F.col("total").alias("totalResults")),
         external_id=F.coalesce(doi, F.col("w.URL")), title=F.coalesce(texts("w.title"), texts("w.subtitle")), url=url,
         published_at=day, updated_at=to_ts("w.created.`date-time`"), author=_joined(authors), authors=authors,
@@ -235,7 +235,7 @@ def read_semantic_scholar(spark: SparkSession, path: str, sources: DataFrame, fe
     doi = some("p.externalIds.DOI")
     authors = _clean_list(F.transform("p.authors", lambda a: a["name"]))
     fields = F.concat(_clean_list(F.col("p.fieldsOfStudy")), _clean_list(F.transform("p.s2FieldsOfStudy", lambda f: f["category"])))
-    return _records(
+    return records(
         rows, sources, fetched_at,
         F.struct(F.lit("semantic_scholar").alias("adapter"), F.col("total").alias("totalResults"), F.col("offset")),
         external_id=F.coalesce(some("p.paperId"), doi, F.col("p.url")), title=clean_text("p.title"),
@@ -247,7 +247,7 @@ def read_semantic_scholar(spark: SparkSession, path: str, sources: DataFrame, fe
 
 def read_newsapi(spark: SparkSession, path: str, sources: DataFrame, fetched_at, multi_line: bool = True) -> DataFrame:
     rows = _json(spark, path, NEWSAPI, multi_line).select("source_id", "totalResults", F.explode("articles").alias("a"))
-    return _records(
+    return records(
         rows, sources, fetched_at, F.struct(F.lit("newsapi").alias("adapter"), "totalResults"),
         external_id=F.col("a.url"), title=clean_text("a.title"), url=F.col("a.url"), published_at=to_ts("a.publishedAt"),
         author=clean_text("a.author"), summary=clean_summary(F.coalesce(F.nullif("a.description", F.lit("")), F.col("a.content"))),
@@ -271,7 +271,7 @@ def read_hacker_news(spark: SparkSession, path: str, sources: DataFrame, fetched
     )
     page = F.concat(F.lit(HN_ITEM_URL), F.col("id").cast("string"))
     item = [c for c in ("id", "type", "by", "time", "title", "url", "text", "score", "descendants")]
-    return _records(
+    return records(
         rows, sources, fetched_at, _adapter("hacker_news"),
         external_id=F.col("id").cast("string"), title=clean_text("title"), url=F.coalesce(F.nullif("url", F.lit("")), page),
         published_at=F.timestamp_seconds("time"), author=clean_text("by"), summary=clean_summary("text"),
@@ -286,7 +286,7 @@ def read_product_hunt(spark: SparkSession, path: str, sources: DataFrame, fetche
     ).select("source_id", "total", F.col("e.node").alias("n")).filter("n IS NOT NULL")
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     makers = _clean_list(F.transform("n.makers", lambda m: F.coalesce(F.nullif(m["name"], F.lit("")), m["username"])))
-    return _records(
+    return records(
         rows, sources, fetched_at, F.struct(F.lit("product_hunt").alias("adapter"), F.col("total").alias("totalResults")),
         external_id=F.coalesce(some("n.id"), some("n.slug"), F.col("n.url")), title=clean_text("n.name"), url=F.col("n.url"),
         published_at=to_ts(F.coalesce(some("n.featuredAt"), F.col("n.createdAt"))), author=_joined(makers), authors=makers,
@@ -314,10 +314,22 @@ def register_reader(source_type: str, reader: Reader) -> None:
     READERS[source_type] = reader
 
 
-def read_landing(spark: SparkSession, root: str, sources: DataFrame, fetched_at, kinds: list[str]) -> DataFrame:
-    """Records of all landing folders ``root/<source type>`` named in ``kinds``."""
+class _Stream:
+    """A session whose ``read`` makes streams; readers need no more of it."""
+
+    def __init__(self, spark: SparkSession):
+        self.read = spark.readStream
+
+
+def read_landing(spark: SparkSession, root: str, sources: DataFrame, fetched_at, kinds: list[str], stream: bool = False) -> DataFrame:
+    """Records of all landing folders ``root/<source type>`` named in ``kinds``.
+
+    With ``stream`` the same readers run over new files as they land; a reader
+    that only maps, filters and explodes its rows can be used either way.
+    """
     united = None
     for kind in kinds:
-        part = READERS[kind](spark, f"{root}/{kind}", sources.filter(F.col("source_type") == kind), fetched_at)
+        reader = _Stream(spark) if stream else spark
+        part = READERS[kind](reader, f"{root}/{kind}", sources.filter(F.col("source_type") == kind), fetched_at)
         united = part if united is None else united.unionByName(part)
     return united
