@@ -1,10 +1,13 @@
 """Read queries over the fixed signals."""
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from storyloom.operators import scoring, serving, topics
+from storyloom.operators.lineage import shared_folder
+from storyloom.operators.search_index import SearchIndex, StoredIndex
 from storyloom.operators.serving import FAMILY_LABELS
 
 from .registry import query, r3
@@ -43,6 +46,17 @@ def _shown(t, context):
     return serving.visible_topics(t.signal_topics_fx, topics.topics_dim(t.spark), context)
 
 
+_INDEXES: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _index(t):
+    """The search index of the articles, written once per session."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = SearchIndex.of(t.articles)
+    return _INDEXES[key]
+
+
 def _points(df):
     """Key points with the texts the display rules look at."""
     point = lambda text: F.struct(text.alias("text"), F.array().cast("array<string>").alias("source_ids"))
@@ -288,7 +302,7 @@ HITS = f"""texts AS (SELECT signal_id, lower(concat_ws(' ', title, summary, ai_b
 @query("search", BASE, f", {CTX}, {HITS} SELECT signal_id, {r3('relevance')} AS relevance FROM found WHERE relevance > 0")
 def search(t):
     c = _context(t)
-    rows = serving.search(t.signals_fx, t.links_fx, t.articles, c, _shown(t, c), "The watch the  ZZZ")
+    rows = serving.search(t.signals_fx, t.links_fx, t.articles, c, _shown(t, c), "The watch the  ZZZ", index=_index(t))
     return rows.select("signal_id", (F.floor(F.col("relevance") * 1000.0 + 0.5) / 1000.0).alias("relevance"))
 
 
@@ -301,11 +315,29 @@ def search(t):
 def search_filtered(t):
     c = _context(t)
     rows = serving.search(
-        t.signals_fx, t.links_fx, t.articles, c, _shown(t, c), "the watch the zzz", "policy", "research", "2024-01-03", "2024-01-28", CLOCK, True
+        t.signals_fx, t.links_fx, t.articles, c, _shown(t, c), "the watch the zzz", "policy", "research", "2024-01-03", "2024-01-28", CLOCK, True, _index(t)
     )
     return rows.select("signal_id", (F.floor(F.col("relevance") * 1000.0 + 0.5) / 1000.0).alias("relevance"))
 
 
+@query(
+    "search_by_texts",
+    BASE,
+    f", {CTX}, {HITS} SELECT signal_id, {r3('relevance')} AS relevance FROM found WHERE relevance > 0",
+)
+def search_by_texts(t):
+    """The same search without an index, and by an index whose articles were changed and put back; both must agree."""
+    c = _context(t)
+    plain = serving.search(t.signals_fx, t.links_fx, t.articles, c, _shown(t, c), "the WATCH the zzz")
+    stored = StoredIndex(t.spark, f"postings_{uuid.uuid4().hex}", f"{shared_folder(t.spark)}/postings-{uuid.uuid4().hex}", parts=16)
+    late = t.articles.filter("published_at > TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+    stored.update(t.articles.withColumn("text_for_ai", F.when(F.col("published_at") > F.lit("2024-01-20").cast("timestamp_ntz"), "watch zzz").otherwise(F.col("text_for_ai"))))
+    stored.update(late)
+    found = serving.search(t.signals_fx, t.links_fx, t.articles, c, _shown(t, c), "the WATCH the zzz", index=stored.read())
+    rounded = lambda rows: rows.select("signal_id", (F.floor(F.col("relevance") * 1000.0 + 0.5) / 1000.0).alias("relevance"))
+    return rounded(plain).join(rounded(found), ["signal_id", "relevance"])
+
+
 @query("search_no_query", BASE, f", {CTX} SELECT signal_id, heat_score / 100.0 AS relevance FROM vis WHERE signal_id IN (SELECT signal_id FROM fams WHERE family = 'community')")
 def search_no_query(t):
     c = _context(t)

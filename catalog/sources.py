@@ -275,6 +275,29 @@ def extract_pages(t):
     return page_ops.extract_pages(t.pages).select("page_id", "url", "title", "language", "page_text", "extractor")
 
 
+# Pages of other builds: an article inside the article, blocks instead of articles, a list of links inside the text, links only.
+def _rebuilt(t):
+    html, k = F.col("html"), F.col("page_id") % 4
+    quote = F.lit("</h1><article class='q'><p>Quoted words here.</p></article>")
+    links = F.lit("</h1><div><a href='/1'>more</a> <a href='/2'>and more</a></div>")
+    block = lambda inside: F.replace(F.replace(F.replace(html, F.lit("<article>"), F.lit("<div class='x'><section>")), F.lit("</article>"), F.lit("</section></div>")), F.lit("</h1>"), inside)
+    listed = F.concat(F.lit("<html><body><div><a href='/a'>"), F.regexp_extract(html, "<title>([^<]*)</title>", 1), F.lit("</a></div><div><a href='/b'>b</a></div></body></html>"))
+    return t.pages.withColumn(
+        "html",
+        F.when(k == 0, F.replace(html, F.lit("</h1>"), quote)).when(k == 1, block(F.lit("</h1>"))).when(k == 2, block(links)).otherwise(listed),
+    )
+
+
+@query(
+    "extract_rebuilt_pages",
+    (),
+    f"""WITH {PAGES}, given AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN regexp_replace(art, '</h1>', ' </h1> Quoted words here. ') WHEN page_id % 4 = 3 THEN regexp_extract(html, '<title>([^<]*)</title>', 1) || ' b' ELSE art END AS raw FROM parts)
+    SELECT page_id, {_plain('raw')} AS page_text, CASE page_id % 4 WHEN 0 THEN 'article' WHEN 3 THEN 'body' ELSE 'block' END AS extractor FROM given""",
+)
+def extract_rebuilt_pages(t):
+    return page_ops.extract_pages(_rebuilt(t)).select("page_id", "page_text", "extractor")
+
+
 # --- normalizers: the record of each document under the type of its source ------------------
 
 

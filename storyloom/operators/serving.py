@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round2
 from ..functions.text import clean_text, strip_terminal
 from ..functions.times import date_range, millis, order_key, within
+from .search_index import TEXTS, SearchIndex, hit_columns
 from .summaries import measure
 
 HIDDEN = ["hidden", "deleted"]
@@ -486,11 +487,14 @@ def search(
     end: str | None = None,
     now: datetime | None = None,
     require_term_hit: bool = False,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """Visible signals by relevance: share of query terms found plus heat / 1000.
 
     By default a signal with heat passes without a term hit, only ranked low;
-    ``require_term_hit`` drops it.  Terms are matched per text and OR-ed as bits.
+    ``require_term_hit`` drops it.  With an ``index`` of the articles' texts the
+    member articles are found by postings; without one the texts of the filtered
+    signals are matched and OR-ed as bits.
     """
     rows = with_context(visible(signals), context)
     if topic:
@@ -509,11 +513,12 @@ def search(
         hits = [*(hits or []), distinct[at : at + 60]]
     names = [f"m{i}" for i in range(len(hits))]
     ids = links.join(rows.select("signal_id"), "signal_id", "left_semi")
-    asked = articles.join(ids.select("article_id").distinct(), "article_id", "left_semi")  # texts of the filtered signals only
-    matched = asked.select(
-        "article_id", *[_hits(["title", "excerpt", "text_for_ai"], part).alias(n) for n, part in zip(names, hits)]
-    )
-    members = ids.join(matched, "article_id").groupBy("signal_id").agg(*[F.bit_or(n).alias(f"members_{n}") for n in names])
+    if index is not None:
+        members = hit_columns(index, ids, hits, names)
+    else:
+        asked = articles.join(ids.select("article_id").distinct(), "article_id", "left_semi")  # texts of the filtered signals only
+        matched = asked.select("article_id", *[_hits(list(TEXTS), part).alias(n) for n, part in zip(names, hits)])
+        members = ids.join(matched, "article_id").groupBy("signal_id").agg(*[F.bit_or(n).alias(f"members_{n}") for n in names])
     found = rows.join(members, "signal_id", "left")
     total = F.lit(0)
     for n, part in zip(names, hits):

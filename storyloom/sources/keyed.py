@@ -28,8 +28,9 @@ class KeyedTable:
     new, and the same upsert made again completes it.
     """
 
-    def __init__(self, spark: SparkSession, name: str, path: str, schema: T.StructType, keys: Sequence[str], parts: int = PARTS, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, name: str, path: str, schema: T.StructType, keys: Sequence[str], parts: int = PARTS, buckets: int = BUCKETS, part_by: Sequence[str] | None = None):
         self.spark, self.name, self.path, self.schema, self.keys = spark, name, path, schema, list(keys)
+        self.part_by = list(part_by or keys)  # the keys that choose a row's part
         self.parts, self.buckets = parts, buckets
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         known = spark.catalog.tableExists(name)
@@ -41,7 +42,7 @@ class KeyedTable:
             spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
 
     def part(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+        return F.pmod(F.xxhash64(*self.part_by), F.lit(self.parts)).cast("int")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name).drop(PART)
@@ -88,13 +89,27 @@ class KeyedTable:
         parts = self.touched(keys)
         if parts:
             left = self.spark.table(self.name).filter(F.col(PART).isin(*parts)).join(keys, self.keys, "left_anti")
-            left = left.select(*[f.name for f in self.schema.fields], PART)
-            emptied = set(parts) - {r[0] for r in left.select(PART).distinct().collect()}
-            self._put(left)
-            for part in sorted(emptied):  # nothing was written for them
-                self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({PART} = {part})")
+            self._put_all(left.select(*[f.name for f in self.schema.fields], PART), parts)
         return parts
 
+    def replace(self, rows: DataFrame, groups: DataFrame) -> list[int]:
+        """Put ``rows`` in place of all rows of the ``groups`` (values of the ``part_by`` keys); the parts written."""
+        groups = groups.select(*self.part_by).distinct()
+        parts = sorted({*self.touched(groups), *self.touched(rows)})
+        if parts:
+            left = self.spark.table(self.name).filter(F.col(PART).isin(*parts)).join(groups, self.part_by, "left_anti")
+            names = [f.name for f in self.schema.fields]
+            fresh = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields], self.part().alias(PART))
+            self._put_all(left.select(*names, PART).unionByName(fresh), parts)
+        return parts
+
+    def _put_all(self, rows: DataFrame, parts: Sequence[int]) -> None:
+        """Overwrite ``parts``; those that nothing is left for are dropped."""
+        emptied = set(parts) - {r[0] for r in rows.select(PART).distinct().collect()}
+        self._put(rows)
+        for part in sorted(emptied):
+            self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION ({PART} = {part})")
+
     def _put(self, rows: DataFrame) -> None:
         conf, name = self.spark.conf, "spark.sql.sources.partitionOverwriteMode"
         before = conf.get(name, None)

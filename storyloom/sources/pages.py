@@ -2,15 +2,106 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, unescape_html
 from ..functions.times import to_ts
 from ..functions.urls import strip_tracking
+from ..schemas import STR, shape
 
 # Elements whose text is not part of the article.
 SKIPPED = ["script", "style", "noscript", "template", "nav", "iframe", "svg"]
+# Elements that hold blocks of text.
+CONTAINERS = {"body", "article", "main", "section", "div", "td"}
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>")
+_SPACE = re.compile(r"\s+")
+
+
+class _Node:
+    """A container: where its content lies, and how much text, linked or not, it holds itself and in all."""
+
+    __slots__ = ("name", "parent", "start", "end", "own", "own_linked", "total", "linked")
+
+    def __init__(self, name: str, parent: int, start: int, end: int):
+        self.name, self.parent, self.start, self.end = name, parent, start, end
+        self.own = self.own_linked = self.total = self.linked = 0
+
+
+def _nodes(html: str) -> list[_Node]:
+    """Containers of a page in order; the first is the page.  Tags that don't match close what they can."""
+    nodes, path, links, at = [_Node("", -1, 0, len(html))], [0], 0, 0
+
+    def say(text: str) -> None:
+        n = len(_SPACE.sub("", text))
+        nodes[path[-1]].own += n
+        nodes[path[-1]].own_linked += n if links else 0
+
+    for tag in _TAG.finditer(html):
+        say(html[at : tag.start()])
+        at, name = tag.end(), tag[2].lower()
+        if name == "a":
+            links = 0 if tag[1] else 1  # links don't nest
+        elif name in CONTAINERS and not tag[1]:
+            nodes.append(_Node(name, path[-1], at, len(html)))
+            path.append(len(nodes) - 1)
+        elif name in CONTAINERS and any(nodes[i].name == name for i in path):
+            while True:
+                i = path.pop()
+                nodes[i].end = tag.start()
+                if nodes[i].name == name:
+                    break
+    say(html[at:])
+    for node in reversed(nodes):
+        node.total += node.own
+        node.linked += node.own_linked
+        if node.parent >= 0:
+            nodes[node.parent].total += node.total
+            nodes[node.parent].linked += node.linked
+    return nodes
+
+
+def main_part(html: str | None) -> tuple[str | None, str | None]:
+    """(HTML of the main text, how it was found) of a page without scripts and navigation.
+
+    Of the outermost articles the one with most text outside links; without any,
+    the container whose own text, twice its links taken off, is the longest.
+    Containers inside it that are mostly links are left out.  Nothing if no
+    container has more text than links.
+    """
+    if not html:
+        return None, None
+    nodes = _nodes(html)
+
+    def inside(i: int, name: str) -> bool:
+        while (i := nodes[i].parent) >= 0:
+            if nodes[i].name == name:
+                return True
+        return False
+
+    articles = [i for i, n in enumerate(nodes) if n.name == "article" and n.total > n.linked and not inside(i, "article")]
+    if articles:
+        best, how = max(articles, key=lambda i: (nodes[i].total - nodes[i].linked, -i)), "article"
+    else:
+        best, how = max(range(len(nodes)), key=lambda i: (nodes[i].own - 2 * nodes[i].own_linked, -i)), "block"
+        if nodes[best].own <= 2 * nodes[best].own_linked:
+            return None, None
+    kept, at = [], nodes[best].start
+    for n in nodes[best + 1 :]:
+        if n.start >= nodes[best].end:
+            break
+        if n.start >= at and n.total and 2 * n.linked > n.total:
+            kept.append(html[at : n.start])
+            at = n.end
+    return " ".join([*kept, html[at : nodes[best].end]]), how
+
+
+@F.pandas_udf(shape((STR, "html how")))
+def _main_parts(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([main_part(p) for p in pages], columns=["html", "how"])
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -40,16 +131,18 @@ def extract_pages(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """(url, canonical_url, title, language, excerpt, published_at, author, page_text, extractor,
     text_length, text_hash, error) per page.
 
-    The main text is the first ``<article>``, else the body.  With ``max_bytes``
-    a larger page stays as a row without text whose error is ``page_too_large``.
+    The main text is that of the best article, else of the block with most text
+    outside links, else of the body (``main_part``).  With ``max_bytes`` a larger
+    page stays as a row without text whose error is ``page_too_large``.
     """
     html = F.col("html")
     large = F.lit(False) if max_bytes is None else F.coalesce(F.octet_length("html") > max_bytes, F.lit(False))
     marked = pages.withColumn("_error", F.when(large, "page_too_large"))
     kept = marked.withColumn("html", F.when(F.col("_error").isNull(), html))
     body = _visible(html)
-    first = kept.select("*", F.regexp_extract(body, "(?is)<article[^>]*>(.*?)</article\\s*>", 1).alias("_article"),
-                        F.regexp_extract(body, "(?is)<body[^>]*>(.*?)</body\\s*>", 1).alias("_body"))
+    first = kept.withColumn("_visible", body)
+    first = first.select("*", _main_parts("_visible").alias("_main"), F.regexp_extract("_visible", "(?is)<body[^>]*>(.*?)</body\\s*>", 1).alias("_body"))
+    main = F.col("_main.html")
     plain = lambda c: clean_text(unescape_html(F.regexp_replace(c, "(?s)<[^>]*>", " ")))
     canonical = unescape_html(_attribute(_tag(html, "link", "rel", "canonical"), "href"))
     page_title = unescape_html(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1))
@@ -62,8 +155,8 @@ def extract_pages(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
         clean_text(meta(html, "description")).alias("excerpt"),
         to_ts(F.coalesce(meta(html, "article:published_time"), meta(html, "date"))).alias("published_at"),
         clean_text(meta(html, "author")).alias("author"),
-        F.coalesce(plain(F.col("_article")), plain(F.col("_body"))).alias("page_text"),
-        F.when(plain(F.col("_article")).isNotNull(), "article").otherwise("body").alias("extractor"),
+        F.coalesce(plain(main), plain(F.col("_body"))).alias("page_text"),
+        F.when(plain(main).isNotNull(), F.col("_main.how")).otherwise("body").alias("extractor"),
         F.col("_error").alias("error"),
     )
     text = F.coalesce("page_text", F.lit(""))
