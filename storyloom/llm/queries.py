@@ -131,18 +131,21 @@ def _personal_data(spark, sf_dir):
 @query(
     "op5_sentence_spans",
     r"""
-    WITH parts AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?\n])([^.!?])', E'\\1\x01\\2', 'g'), E'\x01'), lambda s: s <> '') AS s
-      FROM (SELECT doc_id, regexp_replace(text, '(\n)([^.!?])', E'\\1\x01\\2', 'g') AS text FROM documents)),
-    spot AS (SELECT doc_id, unnest(s) AS raw, unnest(generate_series(0, len(s) - 1)) AS pos FROM parts),
-    said AS (SELECT doc_id, pos, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS s FROM spot),
-    placed AS (SELECT doc_id, pos, s, row_number() OVER w AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM said
-      WHERE s <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-    run AS (SELECT doc_id, pos, r, n, last_value(pos) OVER w AS last, list(s) OVER w AS s FROM placed
-      WINDOW w AS (PARTITION BY doc_id ORDER BY r ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
-    runs AS (SELECT * FROM run WHERE r <= greatest(n - 2, 1)),
+    WITH cut_ AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n][.!?]*|[^.!?\n]+')) AS s,
+      generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n][.!?]*|[^.!?\n]+'), 1) AS i FROM documents),
+    clause AS (SELECT doc_id, i, CASE WHEN len(list_filter(string_split_regex(s, '[ \t-\r]+'), lambda w: w <> '')) > 12
+      THEN regexp_extract_all(s, '[^,;:]*[,;:]|[^,;:]+') ELSE [s] END AS parts FROM cut_),
+    part AS (SELECT doc_id, i, unnest(parts) AS raw, generate_subscripts(parts, 1) AS j FROM clause),
+    spot AS (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS pos, list_filter(string_split_regex(lower(raw), '[ \t-\r]+'), lambda w: w <> '') AS w FROM part),
+    placed AS (SELECT doc_id, pos, array_to_string(w, ' ') AS s, row_number() OVER d AS r, sum(len(w)) OVER d AS upto, len(w) AS n FROM spot WHERE len(w) > 0
+      WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+    whole AS (SELECT doc_id, list(s ORDER BY r) AS s FROM placed GROUP BY doc_id),
+    run AS (SELECT a.doc_id, a.r, any_value(a.pos) AS pos, min(e.r) AS stop, min(e.pos) AS last FROM placed a JOIN placed e
+      ON e.doc_id = a.doc_id AND e.r BETWEEN a.r + 1 AND a.r + 19 AND e.upto - a.upto + a.n >= 20 GROUP BY a.doc_id, a.r),
+    runs AS (SELECT doc_id, pos, last, array_to_string(list_slice(s, r, stop), chr(10)) AS s FROM run JOIN whole USING (doc_id)),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) AS k FROM runs),
     gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, last)) AS pos FROM ranked WHERE k > 1)
-    SELECT d.doc_id, coalesce(any_value(p.n), 0) AS n_sentences, count(g.pos) FILTER (WHERE p.pos IS NOT NULL) AS n_removed,
+    SELECT d.doc_id, count(p.pos) AS n_sentences, count(g.pos) FILTER (WHERE p.pos IS NOT NULL) AS n_removed,
       coalesce(string_agg(raw, '' ORDER BY t.pos) FILTER (WHERE g.pos IS NULL), '') AS text
     FROM documents d LEFT JOIN spot t ON t.doc_id = d.doc_id LEFT JOIN placed p ON p.doc_id = t.doc_id AND p.pos = t.pos
       LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.pos = t.pos

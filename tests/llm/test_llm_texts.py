@@ -8,7 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from cases import frame, plain, rows, same, sentence
+from cases import WORDS, frame, plain, rows, same, sentence
 from pyspark.sql import functions as F
 
 from storyloom.llm import brown, pii, quality, sentence_spans
@@ -115,28 +115,36 @@ def test_classes_help_on_texts_that_did_not_train(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 5 * len(got)
 
 
-def spans_by_hand(data, span=3):
-    cut = lambda t: [s for s in re.split(r"(?<=[.!?\n])(?![.!?])", t or "") if s]
-    norm = lambda s: re.sub(r"\s+", " ", s.lower()).strip(" ")
-    seen, gone = {}, {}
-    order = sorted(range(len(data)), key=lambda k: (data[k][0] is not None, data[k][0] or 0))
-    texts = {(d, t) for d, t in data}
-    for d, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
-        parts = cut(t)
-        at = [k for k, s in enumerate(parts) if norm(s)]
-        for a in range(max(1, len(at) - span + 1)) if at else []:
-            run = tuple(norm(parts[k]) for k in at[a : a + span])
-            if seen.setdefault(run, (d, t, at[a])) != (d, t, at[a]):
-                gone.setdefault((d, t), set()).update(range(at[a], at[min(a + span, len(at)) - 1] + 1))
-    del order
-    return [(d, "".join(s for k, s in enumerate(cut(t)) if k not in gone.get((d, t), ())) if t is not None else None) for d, t in data]
+def spans_by_hand(data):
+    rows_, first, gone = [], {}, {}
+    for k, (d, t) in sorted(enumerate(data), key=lambda r: (r[1][0] is not None, r[1][0] or 0)):
+        parts = []
+        for s in re.split(r"(?<=[.!?\n])(?![.!?])", t or ""):
+            parts += re.split(r"(?<=[,;:])", s) if len(s.encode().split()) > 12 else [s]
+        at = [i for i, p in enumerate(parts) if p.encode().split()]
+        for a in range(len(at)):
+            for b in range(a + 2, len(at) + 1):
+                run = tuple(" ".join(w.decode() for w in parts[i].lower().encode().split()) for i in at[a:b])
+                if sum(len(x.split(" ")) for x in run) >= 20:
+                    if first.setdefault(run, (k, a)) != (k, a):
+                        gone.setdefault(k, set()).update(range(at[a], at[b - 1] + 1))
+                    break
+        rows_.append((d, t if t is None else "".join(p for i, p in enumerate(parts) if i not in gone.get(k, ())), len(at), len(gone.get(k, set()) & set(at))))
+    return rows_
 
 
 def test_sentence_spans_equal_brute_force(spark):
+    rng = random.Random(11)
     data = [r[:2] for r in rows() if r[0] != 7]
-    got = sentence_spans.remove_repeats(frame(spark).filter("doc_id is null or doc_id <> 7"))
-    same([(r.doc_id, r.text) for r in got.select("doc_id", "text").collect()], spans_by_hand(data))
-    assert set(frame(spark).columns) <= set(got.columns)
+    two = ", ".join(sentence(rng, 9)[:-1] for _ in range(4)) + ". " + "; ".join(sentence(rng, 9)[:-1] for _ in range(5)) + "."  # two sentences of 81 words
+    data += [(800 + k, f"{sentence(rng)} {two} {sentence(rng)}") for k in range(6)]
+    data += [(900, two[30:]), (901, "Yes. No. " * 3), (902, "yes. No. " * 30), (903, "yes. no.\n" * 30), (904, "no marks at all " * 40), (905, "no marks at all " * 40), (906, two), (906, two), (906, two)]
+    docs = spark.createDataFrame([(*d, 7, "x") for d in data], "doc_id long, text string, n_removed int, pos string")
+    got = sentence_spans.remove_repeats(docs)
+    found = [(r.doc_id, r.text, r.n_sentences, r.n_removed) for r in got.collect()]
+    same(found, spans_by_hand(data))
+    assert [n for d, _, _, n in found if d is not None and 800 < d < 806] == [9] * 5  # the passage goes from all but the first
+    assert got.columns == ["doc_id", "text", "pos", "n_sentences", "n_removed"]
     assert sentence_spans.remove_repeats(plain(spark, [])).count() == 0
 
 
