@@ -128,7 +128,7 @@ def test_top_k_equals_brute_force(spark):
     rng = random.Random(3)
     data = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(260)]
     data += [(300, data[0][1]), (301, data[0][1]), (302, None), (303, [None] * 5), (304, [float("nan")] * 5), (305, [float("inf"), 0.0, 0.0, 0.0, 0.0]), (None, data[1][1])]
-    data += [data[4], (5, [0.0] * 5), (400, [1.0, 2.0]), (401, [3.0, 4.0]), (402, [])]
+    data += [data[4], (5, [0.0] * 5), (100, data[7][1]), (100, data[100][1]), (200, [0.5] * 5), (400, [1.0, 2.0]), (401, [3.0, 4.0]), (402, [])]
     frame = spark.createDataFrame([(i, v, 1, "d") for i, v in data], "vec_id long, embedding array<float>, dim int, near string")
     import struct
 
@@ -138,6 +138,12 @@ def test_top_k_equals_brute_force(spark):
     assert top_k.top_k(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_rows_of_one_id_are_candidates_of_their_own(spark):
+    data = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [5.0, 0.0]), (2, [2.0, 0.0]), (0, [3.0, 0.0])]
+    got = sorted(tuple(r) for r in top_k.top_k(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 10).collect())
+    assert got == top_k.brute_force(data, 10) and (0, 1, 1, 5 * 1024 * 1024) in got and len(got) == 8
+
+
 @pytest.mark.parametrize("k", [1, 3])
 def test_all_equal_vectors_go_by_id(spark, k):
     frame = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(12)], "vec_id long, embedding array<double>")
