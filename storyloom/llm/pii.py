@@ -2,10 +2,10 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers.  Each
 found value is a protected entity.  The corpus says how strongly a term reveals
-one: pointwise mutual information of a term and an entity over texts, as a share
-of the entity's own information content.  Terms near a mention that reach the
-disclosure threshold are spans too; they are generalised or removed.
-DataFrame functions only.
+one: pointwise mutual information of a term and an entity over whole texts, as a
+share of the entity's own information content.  In every text with an entity the
+terms that reach its disclosure threshold are spans too, wherever they stand;
+they are generalised or removed.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, key_join, small, text_of
 
-REACH = 60  # characters each side of a mention whose terms are weighed
+REACH = 60  # characters each side of a mention that tell its surroundings from others
 DISCLOSURE = 0.9  # share of an entity's information content from which on a term discloses it
-SUPPORT = 2  # different surroundings in which term and entity must meet
-TERM = r"\p{L}{4,}"
+SUPPORT = 2  # different surroundings of the entity in the texts that have both
+LETTERS = 2  # letters of a term at least
+TERM = rf"\p{{L}}{{{LETTERS},}}"
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns.  Possessive repeats and the look-behind keep the same leftmost
 # matches as the plain forms and stay linear on long runs: a match starts where
@@ -36,9 +37,9 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){15}[0-
 SPAN = "array<struct<start:bigint,stop:bigint,value:string>>"
 
 
-def spans_of(text: Column, pattern: str) -> Column:
+def spans_of(text: Column, pattern: str | Column) -> Column:
     """Matches with code point offsets: what lies between them, cut at the matches, gives the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g).cast("long"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
 
@@ -78,56 +79,68 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text_hash, email, ip, card, phone, around) of every row, numbered and written once.
+    """(row, doc_id, text_hash, email, ip, card, phone, mentions, terms) of every row, numbered and written once.
 
-    ``around`` has (kind, value, start, stop, context) of each mention, where
-    context is the text within REACH characters, from code point ``start`` on.
+    Only rows with a mention have ``mentions`` (kind, value, surroundings), where
+    surroundings is a hash of the text within REACH characters, and ``terms``, the
+    different terms of the whole text.
     """
     rows = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     rows = rows.select("*", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
 
-    def context(kind):
+    def mention(kind):
         def of(s):
             low = F.greatest(s["start"] - REACH, F.lit(0))
             piece = F.substr("text", (low + 1).cast("int"), (s["stop"] - low + REACH).cast("int"))
-            return F.struct(F.lit(kind).alias("kind"), s["value"].alias("value"), s["start"].alias("start"), s["stop"].alias("stop"), low.alias("low"), piece.alias("context"))
+            return F.struct(F.lit(kind).alias("kind"), s["value"].alias("value"), F.xxhash64(piece).alias("surroundings"))
 
         return F.transform(kind, of)
 
     any_found = reduce(lambda a, b: a | b, [F.size(k) > 0 for k in KINDS])
-    around = F.when(any_found, F.concat(*[context(k) for k in KINDS]))
+    mentions = F.when(any_found, F.array_distinct(F.concat(*[mention(k) for k in KINDS])))
+    terms = F.when(any_found, terms_of(F.col("text")))
     plain = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", *[plain(k).alias(k) for k in KINDS], around.alias("around")))
+    return cut(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", *[plain(k).alias(k) for k in KINDS], mentions.alias("mentions"), terms.alias("terms")))
 
 
-def term_spans(mentions: DataFrame) -> DataFrame:
-    """(…, term, at, to) of the terms in each mention's context, in code points of the text; not those inside the mention."""
-    at = F.explode(spans_of(F.col("context"), TERM)).alias("t")
-    rows = mentions.select("row", "doc_id", "text_hash", "kind", "value", "start", "stop", "low", "context", at)
-    rows = rows.select("*", (F.col("t.start") + F.col("low")).alias("at"), (F.col("t.stop") + F.col("low")).alias("to"), F.lower("t.value").alias("term")).drop("t", "low")
-    # A word cut by the edge of the context is no term.
-    inner = ((F.col("at") > F.col("start") - REACH) | (F.col("at") == 0)) & (F.col("to") < F.col("stop") + REACH)
-    return rows.filter(inner & ((F.col("to") <= F.col("start")) | (F.col("at") >= F.col("stop"))))
+def terms_of(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: F.char_length(w) >= LETTERS))
 
 
-def disclosing(docs: DataFrame, terms: DataFrame, total: int, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def candidate_terms(docs: DataFrame, base: DataFrame, total: int, disclosure: float) -> DataFrame:
+    """(term, spread): terms of two texts or more with a mention that can reach the threshold; spread counts all texts.
+
+    disclosure = 1 + log2(both / spread) / log2(N / entity), and ``both`` is at most
+    the number of texts with a mention that have the term: what stands in too many
+    other texts is left out before it meets any entity.
+    """
+    held = base.filter("terms is not null").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("held")).filter("held >= 2")
+    held = cut(held)
+    spread = docs.select(F.explode(terms_of(text_of())).alias("term")).groupBy("term").agg(F.count("*").alias("spread"))
+    reach = float(max(total, 1)) ** (1 - disclosure)
+    return cut(spread.join(small(held), "term").filter(F.col("spread") <= F.col("held") * (reach + 1e-9)).select("term", "spread"))
+
+
+def disclosing(docs: DataFrame, base: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(kind, value, term, disclosure): terms that give an entity away.
 
-    With N = ``total`` texts, PMI = log2(N * both / (term * entity)) over the numbers
-    of texts that have them, and disclosure = PMI / log2(N / entity).  Support counts
-    different surroundings, so copies count once; a term that also stands in many
-    other texts has low PMI.
+    With N texts, PMI = log2(N * both / (spread * entity)) over the numbers of texts
+    that have them, and disclosure = PMI / log2(N / entity).  Support counts
+    different surroundings of the entity, so copies of a text count once; a term
+    that also stands in many other texts has low PMI.
     """
-    pairs = terms.groupBy("kind", "value", "term").agg(
-        F.count_distinct(F.xxhash64("context")).alias("surroundings"), F.count_distinct("row").alias("both")
-    )
-    pairs = cut(pairs.filter(F.col("surroundings") >= support))
-    entities = cut(terms.groupBy("kind", "value").agg(F.count_distinct("row").alias("entity")))
-    wanted = small(cut(pairs.select("term").distinct()))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text_of()), r"\P{L}+"))).alias("term"))
-    # Counted before the join, which then meets each term once.
-    spread = words.filter(F.char_length("term") >= 4).groupBy("term").agg(F.count("*").alias("spread")).join(wanted, "term")
-    rows = pairs.join(small(cut(spread)), "term").join(small(entities), ["kind", "value"])
+    total = base.count()
+    asked = base.filter("mentions is not null").select("row", "mentions", "terms")
+    each = asked.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
+    # Texts are counted once however often they mention an entity; counts are summed before the shuffle.
+    entities = cut(each.select("row", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("entity")))
+    wanted = candidate_terms(docs, base, total, disclosure)
+    told = cut(asked.select("row", F.explode("terms").alias("term")).join(small(wanted.select("term")), "term"))
+    pairs = each.join(told, "row").groupBy("kind", "value", "term").agg(
+        F.count_distinct("surroundings").alias("surroundings"), F.count_distinct("row").alias("both")
+    ).filter(F.col("surroundings") >= support)
+    rows = cut(pairs).join(small(wanted), "term").join(small(entities), ["kind", "value"])
     n = F.greatest(F.lit(float(total)), F.col("spread"), F.col("entity"))
     pmi = F.log2(n * F.col("both") / (F.col("spread") * F.col("entity")))
     content = F.log2(n / F.col("entity"))
@@ -138,20 +151,24 @@ def disclosing(docs: DataFrame, terms: DataFrame, total: int, disclosure: float
 def personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(doc_id, text_hash, email, ip, card, phone, term): arrays of (start, stop) in code points, one row per input row.
 
-    ``term`` has the words near a mention that disclose it.  Null and empty
-    texts have none; rows that repeat an id are judged each by its own text.
+    ``term`` has every place of the words that disclose an entity of the text,
+    outside the mentions themselves.  Null and empty texts have none; rows that
+    repeat an id are judged each by its own text.
     """
     docs = docs.select("doc_id", "text")
     base = found(docs)
-    mentions = base.filter("around is not null").select("row", "doc_id", "text_hash", F.explode("around").alias("m")).select("row", "doc_id", "text_hash", "m.*")
-    terms = cut(term_spans(mentions))
-    risky = disclosing(docs, terms, base.count(), disclosure, support)
-    hits = terms.join(small(risky.drop("disclosure")), ["kind", "value", "term"])
-    per_doc = hits.groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_set(F.struct(F.col("at").alias("start"), F.col("to").alias("stop")))).alias("term")
-    )
-    out = key_join(base.drop("row", "around"), cut(per_doc), ["doc_id", "text_hash"], "left")
-    return out.withColumn("term", F.coalesce("term", F.array().cast("array<struct<start:bigint,stop:bigint>>")))
+    risky = disclosing(docs, base, disclosure, support)
+    here = base.filter("mentions is not null").select("doc_id", "text_hash", F.explode("mentions").alias("m")).select("doc_id", "text_hash", "m.kind", "m.value")
+    words = here.join(small(risky.drop("disclosure")), ["kind", "value"]).groupBy("doc_id", "text_hash").agg(F.collect_set("term").alias("words"))  # a text's own
+    words = cut(words)
+    texts = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    held = key_join(texts, small(words, cells=F.size("words")), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))  # terms are letters only
+    spots = held.withColumn("pattern", pattern).select("doc_id", "text_hash", spans_of(F.col("text"), F.col("pattern")).alias("spots")).filter(F.size("spots") > 0)
+    spots = spots.withColumn("spots", F.transform("spots", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+    out = key_join(base.drop("row", "mentions", "terms"), cut(spots), ["doc_id", "text_hash"], "left")
+    apart = lambda t: reduce(lambda a, b: a & b, [F.forall(k, lambda s: (t["stop"] <= s["start"]) | (t["start"] >= s["stop"])) for k in KINDS])
+    return out.withColumn("term", F.coalesce(F.filter("spots", apart), F.array().cast("array<struct<start:bigint,stop:bigint>>"))).drop("spots")
 
 
 def listed(kinds: tuple[str, ...]) -> Column:

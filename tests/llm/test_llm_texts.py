@@ -200,3 +200,49 @@ def test_sanitise_keeps_rows_and_columns(spark):
     assert got.columns == frame(spark).columns and got.count() == len(rows())
     assert got.filter("text is null").count() == sum(r[1] is None for r in rows())
     assert hashlib.sha256(b"").hexdigest() == pii.personal_data(plain(spark, [(1, None)])).select(F.sha2(pii.listed(pii.KINDS), 256)).first()[0]
+
+
+def test_terms_disclose_wherever_they_stand(spark):
+    """A name far before the address, in every text that has both, goes at all its places; two letters are enough."""
+    rng = random.Random(14)
+    data = [(i, " ".join(sentence(rng) for _ in range(4)) + " zorblaxes" * (i % 5 == 3)) for i in range(300)]
+    for i in (10, 70, 200):
+        data[i] = (i, f"Wu Zorblax came. {' '.join(sentence(rng) for _ in range(4))} Write to bob{i % 2}@corp.example now. {sentence(rng)} ZORBLAX and wu left, zorblaxes stay.")
+    copy = data[40][1] + f" Quimby said so. Mail ann@corp.example today. {data[41][1]}"
+    data[40], data[41] = (40, copy), (41, copy + " Again.")  # one surrounding only: copies are no evidence
+    got = {r.doc_id: r for r in pii.personal_data(plain(spark, data)).collect()}
+    said = lambda i: [data[i][1][s.start : s.stop] for s in got[i].term]
+    for i in (10, 70, 200):
+        assert [w for w in said(i) if w.lower() in ("wu", "zorblax")] == ["Wu", "Zorblax", "ZORBLAX", "wu"] and "zorblaxes" not in said(i)
+    assert "Quimby" not in said(40) and all(not got[i].term for i in range(300) if i not in (10, 40, 41, 70, 200))
+    text = {r.doc_id: r.text for r in pii.sanitise(plain(spark, data)).collect()}
+    assert "zorblax " not in text[10].lower() and "[EMAIL]" in text[10] and text[0] == data[0][1]
+
+
+def test_disclosure_by_hand(spark):
+    """PMI of terms and entities over a small corpus, counted in plain Python."""
+    rng = random.Random(15)
+    names = ["ana", "bo", "cyd", "dov", "el"]
+    data = []
+    for i in range(400):
+        t = " ".join(rng.choice(WORDS) for _ in range(12))
+        for k, n in enumerate(names):
+            if rng.random() < 0.03:
+                t = f"{t} {n if rng.random() < 0.9 else ''} {rng.choice(WORDS)} user{k}@x.org {rng.choice(WORDS)} {rng.choice(WORDS)} {i}"
+            elif rng.random() < 0.004:
+                t += " " + n
+        data.append((i, t))
+    docs = plain(spark, data)
+    got = {(r.value, r.term): r.disclosure for r in pii.disclosing(docs, pii.found(docs)).collect()}
+    words = {i: {w for w in re.split(r"[^a-z]+", t.lower()) if len(w) >= 2} for i, t in data}
+    want = {}
+    for k in range(len(names)):
+        value = f"user{k}@x.org"
+        texts = [i for i, t in data if value in t]
+        for term in set().union(*(words[i] for i in texts)):
+            both, spread = sum(term in words[i] for i in texts), sum(term in w for w in words.values())
+            around = {t[max(0, t.index(value) - 60) : t.index(value) + len(value) + 60] for i, t in data if i in texts and term in words[i]}
+            d = math.log2(len(data) * both / (spread * len(texts))) / math.log2(len(data) / len(texts))
+            if len(around) >= 2 and d >= 0.9:
+                want[value, term] = d
+    assert got.keys() == want.keys() and want and all(abs(got[k] - want[k]) < 1e-9 for k in want)
