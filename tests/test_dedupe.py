@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from brute import dedupe as sequential
 
-from storyloom.operators import dedupe, skew
+from storyloom.operators import dedupe, simjoin, skew
 
 T0 = datetime(2024, 1, 10)
 COLS = "article_id STRING, source_id STRING, canonical_url STRING, title STRING, published_at TIMESTAMP, created_at TIMESTAMP, content_hash STRING, dedupe_status STRING"
@@ -66,3 +66,37 @@ def test_a_chain_of_dependent_articles(spark):
         if i and rows[i - 1]["article_id"] not in dup:
             dup[r["article_id"]] = rows[i - 1]["article_id"]
     assert {k: v for k, v in got.items() if v} == dup and len(dup) == 500
+
+
+def _similar(rows, threshold):
+    """All ordered pairs of different titles at or above the threshold, counted in plain Python."""
+    titles = {tuple(r["title"].split()) for r in rows if r["title"].split()}
+    found = {}
+    for a in titles:
+        for b in titles:
+            sim = 2.0 * sum(w in b for w in a) / (len(a) + len(b))
+            if a != b and sim >= threshold:
+                found[" ".join(a), " ".join(b)] = sim
+    return found
+
+
+@pytest.mark.parametrize(("first", "second", "cells"), [(25_000, 50_000, 1 << 20), (7, 5, 30)])
+def test_titles_meet_in_tiles(spark, monkeypatch, first, second, cells):
+    monkeypatch.setattr(simjoin, "FIRST_TITLES", first)
+    monkeypatch.setattr(simjoin, "SECOND_TITLES", second)
+    monkeypatch.setattr(simjoin, "CELLS", cells)
+    monkeypatch.setattr(simjoin, "MEETINGS", cells)
+    rows = [r for r in random_rows(5, 120) if r["title"] != "the of"] + [row(900 + i, title=t) for i, t in enumerate(["x x x x", "x", "x y", "模型 x", "模型"])]
+    for threshold in (0.5, 0.82):
+        got = simjoin.title_similarity_join(frame(spark, rows), threshold).collect()
+        assert len(got) == len({(r.first_key, r.second_key) for r in got})
+        assert {(r.first_key, r.second_key): r.similarity for r in got} == _similar(rows, threshold)
+
+
+def test_a_meeting_of_titles_is_no_row(spark):
+    """2,000 titles share one word: what the join reads stays with the titles, not with their two million meetings."""
+    rows = [row(i, title=f"common a{i} b{i} c{i}") for i in range(2000)] + [row(5000, title="common a7 b7")]
+    found = simjoin.title_similarity_join(frame(spark, rows), 0.5)
+    assert {(r.first_key, r.second_key) for r in found.collect()} == {("common a7 b7", "common a7 b7 c7"), ("common a7 b7 c7", "common a7 b7")}
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "split(" not in plan  # no row a word either
