@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storyloom.operators import normalize
@@ -39,8 +40,8 @@ def _land(rows):
 
 
 def _land_feeds(rows, head, tail):
-    """The same as whole feed documents, one per source and 500 items."""
-    feeds = rows.withColumn("feed", F.floor(F.col("n") / 500)).withColumn("n", F.col("n").cast("double"))
+    """The same as whole feed documents, one per source and 10,000 ids: a source holds a share of them only."""
+    feeds = rows.withColumn("feed", F.floor(F.col("n") / 10_000)).withColumn("n", F.col("n").cast("double"))
     ends = feeds.select("source_id", "feed").distinct()
     whole = (
         feeds.select("source_id", "feed", "n", "value")
@@ -450,9 +451,14 @@ def read_landing(t):
     lines = i.select("source_id", F.to_json(F.struct(F.concat(F.lit("line-"), F.col("n").cast("string")).alias("key"), F.col("title").alias("headline"), F.col("url").alias("link"), at.alias("time"))).alias("value"))
     lines.write.partitionBy("source_id").text(f"{root}/lines")
     article = F.struct("title", "url", at.alias("publishedAt"), F.col("excerpt").alias("description"))
-    answers = i.groupBy("source_id", F.floor(F.col("n") / 100).alias("page")).agg(F.collect_list(article).alias("articles"))  # pages of at most 100
-    news = answers.select("source_id", "page", F.to_json(F.struct(F.lit("ok").alias("status"), "articles")).alias("value"))
-    news.write.partitionBy("source_id", "page").text(f"{root}/newsapi")
+    # Answers of at most 100 articles, up to 100 of them a file, written line by line: a file an answer would be one for every few articles.
+    answers = i.select("source_id", F.floor(F.col("n") / 10_000).alias("file"), F.floor(F.col("n") / 100).alias("page"), "n", F.to_json(article).alias("article"))
+    w = Window.partitionBy("source_id", "file").orderBy("page", "n")
+    placed = answers.withColumn("before", F.lag("page").over(w)).withColumn("after", F.lead("page").over(w))
+    opens = F.when(F.col("before").isNull(), "[{").when(F.col("before") != F.col("page"), "]},{")
+    ends = F.when(F.col("after").isNull(), "]}]").otherwise("")
+    value = F.concat(F.coalesce(F.concat(opens, F.lit('"status":"ok","articles":[')), F.lit(",")), "article", ends)
+    placed.select(value.alias("value"), "source_id", "file").write.partitionBy("source_id", "file").text(f"{root}/newsapi")
 
     def read_lines(spark, path, sources, fetched_at):
         rows = spark.read.schema("key STRING, headline STRING, link STRING, time STRING, source_id STRING").json(path)
