@@ -100,3 +100,38 @@ def test_a_meeting_of_titles_is_no_row(spark):
     assert {(r.first_key, r.second_key) for r in found.collect()} == {("common a7 b7", "common a7 b7 c7"), ("common a7 b7 c7", "common a7 b7")}
     plan = found._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "split(" not in plan  # no row a word either
+
+
+@pytest.mark.parametrize(("first", "second", "cells"), [(25_000, 50_000, 1 << 20), (7, 5, 30)])
+def test_the_earliest_similar_lead_is_a_row_an_ask(spark, monkeypatch, first, second, cells):
+    monkeypatch.setattr(simjoin, "FIRST_TITLES", first)
+    monkeypatch.setattr(simjoin, "SECOND_TITLES", second)
+    monkeypatch.setattr(simjoin, "CELLS", cells)
+    monkeypatch.setattr(simjoin, "MEETINGS", cells)
+    rnd = random.Random(9)
+    titles = [" ".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 5))) for _ in range(60)]
+    leads = sorted({(t, rnd.randint(0, 30)) for t in titles for _ in range(3)})
+    leads = [("b", t, at, f"{at:03d}|{i:04d}", 1.0) for i, (t, at) in enumerate(leads)]
+    asks = sorted({("b", rnd.choice(titles), rnd.randint(0, 35)) for _ in range(80)})
+    expected = {}
+    for _, title, since in asks:
+        words = title.split()
+        near = [
+            slot for _, t, at, slot, _ in leads
+            if t != title and at >= since and 2.0 * sum(w in words for w in t.split()) / (len(t.split()) + len(words)) >= 0.4995
+        ]
+        if near:
+            expected[title, since] = min(near)
+    found = simjoin.earliest_similar(
+        spark.createDataFrame(leads, "block STRING, title_key STRING, at BIGINT, slot STRING, factor DOUBLE"),
+        spark.createDataFrame(asks, "block STRING, title_key STRING, since BIGINT"), 0.5,
+    ).collect()
+    assert len(found) == len(expected)
+    assert {(r.title_key, r.since): r.lead_slot for r in found} == expected
+
+
+def test_pairs_hold_no_merely_possible_ones(spark):
+    rows = [row(1, title="model launch update today"), row(2, "b", title="model launch other words"), row(3, "c", title="model launch update now")]
+    pairs = {(r.first_key, r.second_key): r.similarity for r in dedupe.title_pairs(frame(spark, rows)).collect()}
+    assert set(pairs.values()) == {0.75} and len(pairs) == 2
+    assert {r.article_id: r.candidate_of for r in dedupe.assign_duplicates(frame(spark, rows)).collect() if r.candidate_of} == {"art_0002": "art_0001", "art_0003": "art_0001"}
