@@ -1,9 +1,13 @@
 import random
+import re
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from brute import dedupe as sequential
 
+from storyloom.functions import text
 from storyloom.operators import dedupe, simjoin, skew
 
 T0 = datetime(2024, 1, 10)
@@ -135,3 +139,32 @@ def test_pairs_hold_no_merely_possible_ones(spark):
     pairs = {(r.first_key, r.second_key): r.similarity for r in dedupe.title_pairs(frame(spark, rows)).collect()}
     assert set(pairs.values()) == {0.75} and len(pairs) == 2
     assert {r.article_id: r.candidate_of for r in dedupe.assign_duplicates(frame(spark, rows)).collect() if r.candidate_of} == {"art_0002": "art_0001", "art_0003": "art_0001"}
+
+
+def test_titles_meet_in_their_rarest_words_only(monkeypatch):
+    """500 titles share a word and some of them more: few are looked up, and all that are similar are found once."""
+    rnd = random.Random(3)
+    titles = sorted({f"common a{i % 200} b{i % 300} c{i}" for i in range(500)} | {" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 12))) for _ in range(60)})
+    met, run = [], simjoin._run
+    monkeypatch.setattr(simjoin, "_run", lambda start, times: met.append(int(times.sum())) or run(start, times))
+    words = [t.split() for t in titles]
+    index = simjoin._Index(pa.array(titles))
+    for limit in (0.5, 0.82, 1.26):
+        met.clear()
+        found = [x for parts in index.matches(pa.array(titles), np.full(len(titles), limit)) for x in zip(*(p.tolist() for p in parts), strict=True)]
+        sets = [set(w) for w in words]
+        similar = {(i, j): 2.0 * sum(w in held for w in one) / (len(one) + len(words[j])) for i, one in enumerate(words) for j, held in enumerate(sets)}
+        assert len(found) == len({x[:2] for x in found})
+        assert {(i, j): v for i, j, v in found} == {k: v for k, v in similar.items() if v >= limit}
+        assert sum(met) < 500 * 500 / 2  # in the common word alone all would meet
+
+
+def test_title_words_without_stop_words(spark):
+    titles = [None, "", "The of AND", "a an a The cat", "Cat  and-the a DOG", "anode the theory of a", "模型 a 发布", "x the", "the x", "of1 a1 in into new"]
+    stop = set(text.STOP_WORDS)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i INT, t STRING").select("t", text.title_tokens("t").alias("w"), text.title_key("t").alias("k")).collect()
+    for r in rows:
+        expected = [w for w in re.sub("[^a-z0-9\u4e00-\u9fff]+", " ", (r.t or "").lower()).split() if w not in stop]
+        assert r.w == expected and r.k == " ".join(expected)
+    plan = spark.createDataFrame([("x",)], "title STRING").select(text.title_key("title"))._jdf.queryExecution().toString()
+    assert "lambdafunction" not in plan  # word lists aren't filtered word by word
