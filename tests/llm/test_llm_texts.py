@@ -107,6 +107,36 @@ def test_exchange_gain_is_the_change_of_the_objective():
         assert abs(max(tried) - tried[classes[u]] - gain) < 1e-6
 
 
+def test_many_words_move_as_one_does():
+    rng = np.random.default_rng(3)
+    count, k = 5, 40
+    left, right = (rng.integers(0, 4, (k, count)) * (rng.random((k, count)) < 0.5).astype(float) for _ in range(2))
+    own, now = rng.integers(0, 3, k).astype(float), rng.integers(0, count, k)
+    table = rng.integers(0, 9, (count, count)).astype(float)
+    for u in range(k):  # the table holds every unit in its class
+        table[:, now[u]] += left[u]
+        table[now[u]] += right[u]
+        table[now[u], now[u]] += own[u]
+    best, gain = brown.best_classes(table, now, left, right, own)
+    for u in range(k):
+        _, one = brown.best_class(table, int(now[u]), left[u], right[u], own[u])
+        assert abs(one - gain[u]) < 1e-6
+
+
+def test_rare_words_are_exchanged_each_by_itself(spark):
+    # Words of one ending, each under the share of the rounds, in the places of two kinds of common words.
+    rng = random.Random(5)
+    rare, data = [[f"{c}{i}xyz" for i in range(1_500)] for c in "pq"], []
+    for i in range(1_000):
+        own = ["aa", "ab", "ac"] if i % 2 else ["ba", "bb", "bc"]
+        data.append((i, " ".join(rng.choice(rare[i % 2]) if rng.random() < 0.4 else rng.choice(own) for _ in range(40))))
+    got = brown.score_texts(plain(spark, data), classes=6).collect()
+    assert len(got) == len(data)
+    for held in (False, True):
+        some = [r for r in got if r.held_out == held]
+        assert sum(r.score - r.base_score for r in some) > 10.5 * len(some)
+
+
 def test_classes_help_on_texts_that_did_not_train(spark):
     rng = random.Random(2)
     sets = [[a + b for a in "bcdfg" for b in "aeiou"], [a + b for a in "xyzwv" for b in "aeiou"]]
